@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import boilerplate, encoder, leakage, sitelines, spam, splitter
+from . import boilerplate, encoder, history, knn, leakage, sitelines, spam, splitter, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,40 @@ def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_by_source(table(spark, d, "search_hits"))
 
 
+def _acquired(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "acquired").select("batch_id", "arrival_seq", "doc_id", F.col("content.body").alias("body"))
+
+
+def _p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = history.rows_of(_acquired(spark, d), body="body")
+    past = history.History.create(spark)
+    past.start(rows.where("at.b = 0"))
+    return history.check(past, rows.where("at.b > 0")).pairs
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Batch 0 is the history; the rows after it are one increment, settled in the order of their arrival."""
+    return _p2_pairs(spark, d).select(F.least("doc", "accepted").alias("doc_id_a"), F.greatest("doc", "accepted").alias("doc_id_b")).distinct()
+
+
+def p2_accepted_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Each repeat with the document that it repeats and that document's hash in the manifest."""
+    return history.with_manifest(_p2_pairs(spark, d), table(spark, d, "manifest"))
+
+
+def p2_by_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The same batch by batch, each against the growing index: repeats and accepted documents of each batch."""
+    rows = history.rows_of(_acquired(spark, d), body="body")
+    past = history.History.create(spark)
+    past.start(rows.where("at.b = 0"))
+    out = None
+    for batch in sorted(r[0] for r in rows.where("at.b > 0").select("at.b").distinct().toLocalIterator()):
+        found = history.check_and_append(past, rows.where(F.col("at.b") == batch))
+        line = found.pairs.agg(F.lit(batch).alias("batch_id"), F.count_distinct("doc").alias("repeats"), F.count("*").alias("pairs")).crossJoin(found.accepted.agg(F.count("*").alias("accepted")))
+        out = line if out is None else out.unionByName(line)
+    return out if out is not None else spark.createDataFrame([], "batch_id long, repeats long, pairs long, accepted long")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.find_repeated_lines(table(spark, d, "search_hits"))
 
@@ -42,6 +76,14 @@ def p4_article(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_text(table(spark, d, "search_hits"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.nearest_pairs(table(spark, d, "positioning_candidates")).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return knn.nearest(table(spark, d, "positioning_candidates")).withColumnRenamed("id", "chunk_id").withColumnRenamed("near_id", "near_chunk_id")
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitter.split_oversized(table(spark, d, "search_hits"), table(spark, d, "chunk_configs"))
 
@@ -72,9 +114,25 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.clean_documents(docs.select("doc_id", "source", "n_chars"), leakage.find_leaks(docs, table(spark, d, "eval_items")))
 
 
+def _p9_scored(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p9_scored(spark, d).where("offends").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _p9_scored(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(_p9_scored(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_by_source, p3_found, p3_clean, p3_cut_chunks, p4_found, p4_article, p6_found, p6_pieces, p7_ids, p7_round_trip, p8_found, p8_longest, p8_clean)
+    for f in (p1_found, p1_by_source, p2_found, p2_accepted_hash, p2_by_batch, p3_found, p3_clean, p3_cut_chunks, p4_found, p4_article, p5_found, p5_neighbours, p6_found, p6_pieces, p7_ids, p7_round_trip, p8_found, p8_longest, p8_clean, p9_found, p9_scores, p9_rates)
 }
 
 _LINES = """

@@ -25,23 +25,17 @@ def words(text: str | None) -> list[str]:
     return _RUN.findall(fold(text)) if text else []
 
 
-class WordHasher:
+class WordHasher(dict):
     """64-bit hashes of words, the same in every process, remembered for words met before."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return h
 
     def __call__(self, ws: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > _FULL_CACHE:
-            known.clear()
-        out = np.empty(len(ws), dtype=np.uint64)
-        for i, w in enumerate(ws):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w.encode())
-            out[i] = h
-        return out
+        if len(self) > _FULL_CACHE:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
