@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +26,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    for name in ("text_queries", "retrieval_queries", "ranking_queries", "table_queries"):
+        importlib.import_module(f"larkspur.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(_QUERIES.values()))(spark, sf_dir)
+    """Hybrid retrieval: BM25 and vectors, fused."""
+    return queries()["j09_hybrid"](spark, sf_dir)
