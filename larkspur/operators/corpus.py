@@ -29,11 +29,12 @@ def first_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def length_statistics(rows: DataFrame, by: str, length: str | Column, name: str = "chars") -> DataFrame:
-    """Count, average, least, greatest and quartiles up to the 99th percentile, each without its fraction."""
+    """Count, average, least, greatest and quartiles up to the 99th percentile, each without its fraction (a
+    percentile that interpolation leaves a millionth under a whole number counts as that number)."""
     n = as_column(length)
     pct = F.percentile(n, F.array(*[F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)]))
     out = rows.groupBy(by).agg(F.count(n).alias("n"), F.floor(F.avg(n)).alias("avg"), F.min(n).alias("min"), F.max(n).alias("max"), pct.alias("_p"))
-    return out.select(by, "n", "avg", "min", "max", *[F.floor(F.col("_p")[i]).alias(f"p{p}") for i, p in enumerate((50, 90, 95, 99))])
+    return out.select(by, "n", "avg", "min", "max", *[F.floor(F.col("_p")[i] + 0.000001).alias(f"p{p}") for i, p in enumerate((50, 90, 95, 99))])
 
 
 def duplicate_totals(rows: DataFrame, key: str | Column) -> DataFrame:
