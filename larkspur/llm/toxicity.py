@@ -43,7 +43,7 @@ _SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){2,}\w(?!\w)")
 _MIXED = re.compile(r"[a-z@$!|]*[0-9@$|][a-z0-9@$!|]*")
 _LEET = str.maketrans("0134579@$!|", "oieastgasil")
-_MANY = re.compile(r"([^\W\d_])\1+")
+_TOUCHING = re.compile(r"[a-z][0-9@$|]|[0-9@$|][a-z]")
 _RULE = re.compile(r"([^\w\s])\1{2,}")
 _HIDDEN = re.compile("[​-‏⁠﻿­]")
 _SEPARATOR = 31
@@ -74,12 +74,12 @@ def passages(text: str | None) -> list[str]:
 
 def canonical(text: str) -> str:
     """Folded, without hidden characters and ruled lines, spaced-out words closed up, digits that stand for letters
-    replaced, runs of a letter cut to one."""
+    replaced. Runs of a letter are cut to one when the passage is coded."""
     t = fold(_HIDDEN.sub("", text) if not text.isascii() else text)
-    if any(c in t for c in "0134579@$|"):
+    if _TOUCHING.search(t):
         t = _MIXED.sub(lambda m: m[0].translate(_LEET) if any("a" <= c <= "z" for c in m[0]) else m[0], t)
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), t)
-    return _MANY.sub(r"\1", _RULE.sub(lambda m: "***" if m[1] == "*" else "", t))
+    return _RULE.sub(lambda m: "***" if m[1] == "*" else "", t)
 
 
 def _code_table() -> np.ndarray:
@@ -113,7 +113,9 @@ def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join("\x01 " + t + " \x01\x01\x01\x01" for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = _CODES[np.minimum(points, 0xFFFF)].astype(np.int32)
     codes[points == 1] = _SEPARATOR
-    return codes, np.repeat(np.arange(len(texts)), lens)
+    once = np.ones(len(codes), dtype=bool)
+    once[1:] = (codes[1:] != codes[:-1]) | (codes[1:] == 0) | (codes[1:] > 26)
+    return codes[once], np.repeat(np.arange(len(texts)), lens)[once]
 
 
 def _subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
