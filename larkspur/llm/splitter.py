@@ -86,7 +86,7 @@ def split_text(text: str | None, size: int | None, overlap: int | None = 0, leas
             pieces.append((begin, n))
             break
         high = begin + size
-        fresh = begin + over if begin else 0
+        fresh = begin + over
         low = min(max(fresh + 1, begin + max(least or 0, size // 2)), high)
         at = np.arange(low, high + 1) - 1  # a cut after token t
         s = strength[at]
