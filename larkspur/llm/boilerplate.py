@@ -81,6 +81,8 @@ def traits(line: str, n: int) -> list[int]:
     core = line.rstrip(" »-!.…*•") if line.endswith(("»", "-", "!", "...", "…")) else line
     if n > 6 and core.endswith((".", "?")):
         out.append(6 if "{b}" in line else 7)
+        if n > 30:  # that a line is a long text must not be lost among its many words
+            out += [out[-1]] * (n // 6)
     if line.count("|") >= 2:
         out.append(8)
     if line.count("»") + line.count(">") + line.count("·") + line.count("[") + line.count(" / ") >= 2:
