@@ -71,7 +71,7 @@ def clean_markup(c: str | Column) -> Column:
     s = F.regexp_replace(as_column(c), r"(?i)<\s*(?:br|/p|/div|/li|/ul|/ol|/h[1-6]|p|div|li|ul|ol|h[1-6])\b[^>]*>", "\n")
     s = F.regexp_replace(s, r"<[^>]+>", "")
     s = F.regexp_replace(F.regexp_replace(s, "\r\n?", "\n"), r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r" ?\n ?", "\n"), r"\n{2,}", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r" ?\n ?", "\n"), r"\n{2,}", "\n"), r"^\s+|\s+$", "")
 
 
 @F.pandas_udf(StringType())

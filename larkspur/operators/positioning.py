@@ -57,7 +57,7 @@ def authority(source: str | Column, url: str | Column) -> Column:
 def freshness(dates: list[str], reference: str) -> Column:
     """Steps by age in days from the first date that can be read; 0.60 without any. ``reference`` is an ISO time in UTC."""
     parsed = [F.try_to_timestamp(F.col(d), F.lit(f)) for d in dates for f in ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd")]
-    age = F.greatest(F.lit(0), F.floor((F.unix_timestamp(F.to_timestamp(F.lit(reference), "yyyy-MM-dd'T'HH:mm:ssX")) - F.unix_timestamp(F.coalesce(*parsed))) / 86400))
+    age = F.floor((F.unix_timestamp(F.to_timestamp(F.lit(reference), "yyyy-MM-dd'T'HH:mm:ssX")) - F.unix_timestamp(F.coalesce(*parsed))) / 86400)
     return F.when(age.isNull(), 0.60).when(age <= 180, 1.0).when(age <= 365, 0.85).when(age <= 730, 0.70).when(age <= 1825, 0.55).otherwise(0.40)
 
 

@@ -55,7 +55,7 @@ _FRESH = "CASE WHEN age IS NULL THEN 0.6 WHEN age <= 180 THEN 1.0 WHEN age <= 36
 
 @query(
     "m08_m09_authority_freshness",
-    f"""WITH {CANDIDATES_SQL}, x AS (SELECT query_id, chunk_id, {_SRC} AS s, greatest(0, floor((1717200000 - epoch(coalesce(try_strptime(published_at, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(published_at, '%Y-%m-%d'), try_strptime(fetched_at, '%Y-%m-%dT%H:%M:%SZ')))) / 86400)) AS age FROM cand)
+    f"""WITH {CANDIDATES_SQL}, x AS (SELECT query_id, chunk_id, {_SRC} AS s, (floor((1717200000 - epoch(coalesce(try_strptime(published_at, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(published_at, '%Y-%m-%d'), try_strptime(fetched_at, '%Y-%m-%dT%H:%M:%SZ')))) / 86400)) AS age FROM cand)
     SELECT query_id, chunk_id, CAST({_AUTH.format(s='s')} AS DOUBLE) AS authority, CAST({_FRESH} AS DOUBLE) AS freshness FROM x""",
 )
 def m08(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def f11(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f12_f13_group_authority_freshness",
-    f"""WITH {NORMAL_SQL}, x AS (SELECT query_id, doc_id, position, ce, {_SRC} AS s, greatest(0, floor((1717200000 - epoch(coalesce(try_strptime(published_at, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(published_at, '%Y-%m-%d'), try_strptime(fetched_at, '%Y-%m-%dT%H:%M:%SZ')))) / 86400)) AS age FROM norm),
+    f"""WITH {NORMAL_SQL}, x AS (SELECT query_id, doc_id, position, ce, {_SRC} AS s, (floor((1717200000 - epoch(coalesce(try_strptime(published_at, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(published_at, '%Y-%m-%d'), try_strptime(fetched_at, '%Y-%m-%dT%H:%M:%SZ')))) / 86400)) AS age FROM norm),
     y AS (SELECT *, CAST({_AUTH.format(s='s')} AS DOUBLE) AS a, CAST({_FRESH} AS DOUBLE) AS f, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY ce DESC, position) AS r FROM x),
     fr AS (SELECT query_id, doc_id, {r6('0.7 * max(CASE WHEN r = 1 THEN f END) + 0.3 * max(CASE WHEN r <= 3 THEN f END)')} AS freshness, max(a) AS any_a FROM y GROUP BY ALL),
     au AS (SELECT query_id, doc_id, {r6('0.75 * max(a) + 0.25 * avg(a)')} AS authority FROM (SELECT query_id, doc_id, s, max(a) AS a FROM y WHERE s <> '' GROUP BY ALL) GROUP BY ALL)

@@ -86,8 +86,8 @@ def a01(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "c01_clean_markup",
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-        '(?i)<\s*(?:br|/p|/div|/li|/ul|/ol|/h[1-6]|p|div|li|ul|ol|h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{2,}', chr(10), 'g'), ' ') AS cleaned
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+        '(?i)<\s*(?:br|/p|/div|/li|/ul|/ol|/h[1-6]|p|div|li|ul|ol|h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned
         FROM documents""",
 )
 def c01(spark: SparkSession, d: str) -> DataFrame:
