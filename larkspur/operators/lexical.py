@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import as_column, round6, tokens
 
 K1, B = 1.2, 0.75
+MAX_TERMS = 200_000
 
 
 def postings(docs: DataFrame, doc: str, field: str, text: str | Column) -> DataFrame:
@@ -27,14 +28,19 @@ def query_terms(queries: DataFrame, query: str, text: str | Column) -> DataFrame
 def bm25(post: DataFrame, terms: DataFrame, n_docs: DataFrame, boosts: dict[str, float] | None = None, every_term: bool = False) -> DataFrame:
     """(query, doc, score): BM25 of each field times its boost, the best field of a document counts.
 
-    ``n_docs`` has (field, n, avg_len). Only postings of asked terms are joined: the terms are few, so they reduce the
-    postings before any shuffle. With ``every_term`` all terms of a query must stand in one field of the document."""
+    ``n_docs`` has (field, n, avg_len). Postings are weighed once, before queries meet them, and lie by document, so that
+    neither sum needs another shuffle while the asked terms are few enough to be sent around (``MAX_TERMS`` rows, counted
+    first); beyond that they are joined by shuffle. With ``every_term`` all terms of a query must stand in one field."""
     df = post.join(terms.select("term").distinct(), "term", "left_semi")
     freq = df.groupBy("field", "term").agg(F.count("*").alias("df"))
-    hit = terms.join(df, "term").join(freq, ["field", "term"]).join(F.broadcast(n_docs), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    per_field = hit.groupBy("query", "field", "doc").agg(F.sum(gain).alias("s"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
+    weighed = df.join(freq, ["field", "term"]).join(F.broadcast(n_docs), "field").select("field", "term", "doc", gain.alias("gain"))
+    if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
+        hit = weighed.repartition("doc").join(F.broadcast(terms), "term")
+    else:
+        hit = weighed.join(terms, "term")
+    per_field = hit.groupBy("query", "field", "doc").agg(F.sum("gain").alias("s"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
     if every_term:
         per_field = per_field.where("found = n_terms")
     boost = F.lit(1.0)
