@@ -13,6 +13,7 @@ from ..functions.lexicons import PREFERRED_SECTIONS, SOURCE_RELIABILITY
 from ..functions.names import grouping_name
 from ..functions.text import as_column, clamp, jaccard, lookup, round6, sigmoid
 from ..functions.urls import source_of
+from ..runtime import materialize
 from . import concepts
 
 WEIGHTS = {"cross_encoder": 0.65, "hybrid": 0.25, "symptom_coverage": 0.05, "authority": 0.05, "freshness": 0.0}
@@ -135,17 +136,48 @@ def _similar(a: pd.Series, b: pd.Series) -> float:
     return min(1.0, 0.5 * jac(a["c"], b["c"]) + 0.3 * jac(a["t"], b["t"]) + 0.2 * jac(a["s"], b["s"]))
 
 
-def diversify(groups: DataFrame, top: int = 10, trade: float = 0.8, pool: int = 100) -> DataFrame:
+def _likeness(a: Column, b: Column) -> Column:
+    """:func:`_similar` as a column, from two structs of disease, concepts, sources and words."""
+    jac = lambda x: jaccard(a[x], b[x])
+    return F.when(a["disease"] == b["disease"], 1.0).otherwise(F.least(F.lit(1.0), 0.5 * jac("concepts") + 0.3 * jac("words") + 0.2 * jac("sources")))
+
+
+def _choose_in_rounds(groups: DataFrame, top: int, trade: float) -> DataFrame:
+    """The choice of :func:`diversify` without bringing a query's groups together: a round is one aggregate, and only the
+    groups chosen so far, ``top`` a query at most, are joined to the rest."""
+    chosen = None
+    for n in range(top):
+        if chosen is None:
+            left = groups.withColumn("_v", F.col("relevance"))
+        else:
+            held = chosen.groupBy("query_id").agg(F.collect_list(F.struct("group_key", "disease", "concepts", "sources", "words")).alias("_held"))
+            left = groups.join(held, "query_id").where(~F.exists("_held", lambda h: h["group_key"] == F.col("group_key")))
+            own = F.struct("disease", "concepts", "sources", "words")
+            left = left.withColumn("_v", trade * F.col("relevance") - (1 - trade) * F.array_max(F.transform("_held", lambda h: _likeness(own, h))))
+        # the keys before the lists are unique within a query, so the lists are carried and never compared
+        best = F.min(F.struct((-F.col("_v")).alias("v"), (-F.col("relevance")).alias("r"), "position", "group_key", "disease", "relevance", "concepts", "sources", "words"))
+        picks = left.groupBy("query_id").agg(best.alias("_b")).select("query_id", "_b.*", F.lit(n + 1).alias("rank"))
+        picks = materialize(picks, "mmr-round")
+        chosen = picks if chosen is None else chosen.unionByName(picks)
+    as_python = F.udf(lambda v: round(v, 6), "double")
+    return chosen.select("query_id", "group_key", "disease", "relevance", as_python(-F.col("v")).alias("mmr"), "rank")
+
+
+def diversify(groups: DataFrame, top: int = 10, trade: float = 0.8, local: int = 1000) -> DataFrame:
     """(query_id, group_key, disease, relevance, mmr, rank): relevance against likeness to what is chosen already.
 
-    groups: what :func:`score_groups` gives. Each query's groups are cut to the ``pool`` best before they come into one
-    Python group, as the candidates of a query are a bounded list."""
-    w = W.partitionBy("query_id").orderBy(F.col("relevance").desc(), F.col("position"), F.col("group_key"))
+    groups: what :func:`score_groups` gives. The choice is that over all groups of a query: only those are left out whose
+    relevance is more than (1 - trade) / trade below the ``top``-th best, which no likeness in [0, 1] can make up for. A
+    query that keeps up to ``local`` groups is settled in one Python group, any larger one in distributed rounds."""
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("_text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 3))
-    cut = groups.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool).select("query_id", "group_key", "disease", "relevance", "concepts", "sources", words.alias("words"), "_r")
+    kept = materialize(groups.select("query_id", "group_key", "disease", "relevance", "position", "concepts", "sources", words.alias("words")), "groups")
+    if trade > 0:
+        slack = max(0.0, (1 - trade) / trade) + 1e-9
+        last = kept.select("query_id", "relevance").withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("relevance").desc()))).where(F.col("_r") == top)
+        kept = kept.join(last.select("query_id", (F.col("relevance") - slack).alias("_least")), "query_id", "left").where(F.col("_least").isNull() | (F.col("relevance") >= F.col("_least"))).drop("_least")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values("_r")
+        left = pdf.sort_values(["relevance", "position", "group_key"], ascending=[False, True, True])
         items = [{"disease": r.disease, "c": set(r.concepts), "s": set(r.sources), "t": set(r.words), "rel": r.relevance, "key": r.group_key} for r in left.itertuples()]
         chosen: list[tuple[dict, float]] = []
         near = [0.0] * len(items)
@@ -159,7 +191,12 @@ def diversify(groups: DataFrame, top: int = 10, trade: float = 0.8, pool: int =
         return pd.DataFrame([(pdf.query_id.iloc[0], i["key"], i["disease"], i["rel"], v, n + 1) for n, (i, v) in enumerate(chosen)], columns=["query_id", "group_key", "disease", "relevance", "mmr", "rank"])
 
     kind = groups.schema["query_id"].dataType.simpleString()
-    return cut.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, group_key string, disease string, relevance double, mmr double, rank int")
+    settle = lambda g: g.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, group_key string, disease string, relevance double, mmr double, rank int")
+    large = materialize(kept.groupBy("query_id").count().where(F.col("count") > local).select("query_id"), "large-queries")
+    if large.isEmpty():
+        return settle(kept)
+    rounds = _choose_in_rounds(materialize(kept.join(large, "query_id", "left_semi"), "large-groups"), top, trade)
+    return settle(kept.join(large, "query_id", "left_anti")).unionByName(rounds)
 
 
 def select_evidence(rows: DataFrame, most: int = 3, same: float = 0.85) -> DataFrame:

@@ -97,6 +97,33 @@ def test_diversify_prefers_difference_when_asked(spark):
     assert pick(0.5) == ["pneumonia", "fracture"] and pick(0.95) == ["pneumonia", "covid"]
 
 
+def _mmr(groups, top, trade):
+    """Over all groups, as the definition has it; groups: (key, disease, relevance, position, concepts, sources, words)."""
+    jac = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    like = lambda a, b: 1.0 if a[1] == b[1] else min(1.0, 0.5 * jac(a[4], b[4]) + 0.3 * jac(a[6], b[6]) + 0.2 * jac(a[5], b[5]))
+    left, chosen = sorted(groups, key=lambda g: (-g[2], g[3])), []
+    while left and len(chosen) < top:
+        value = lambda g: trade * g[2] - (1 - trade) * max(like(g, c) for c, _ in chosen) if chosen else g[2]
+        best = max(left, key=lambda g: (value(g), g[2], -g[3]))
+        chosen.append((best, round(value(best), 6)))
+        left.remove(best)
+    return [(g[0], v, n + 1) for n, (g, v) in enumerate(chosen)]
+
+
+@pytest.mark.parametrize("local", [1000, 50])
+def test_diversify_chooses_among_all_groups_of_a_hot_query(spark, local):
+    """300 groups of one hot query: the 250 most relevant are alike, and what differs from them comes after."""
+    rows = [(f"g{i:03}", f"g{i:03}", round(0.95 - i / 10000, 6), i, ["A", "B"], ["s"], f"lung infection cough w{i % 3}xx") for i in range(250)]
+    rows += [(f"g{i:03}", f"g{i:03}", round(0.90 - i / 5000, 6), i, [f"C{i % 7}"], [f"t{i % 5}"], f"bone break number{i % 11}") for i in range(250, 300)]
+    small = [("a", "a", 0.9, 0, ["A"], ["s"], "lung cough"), ("b", "b", 0.1, 1, [], [], "")]
+    g = spark.createDataFrame([(q, *r) for q, l in ((1, rows), (2, small)) for r in l], "query_id int, group_key string, disease string, relevance double, position int, concepts array<string>, sources array<string>, _text string").repartition(3)
+    out = positioning.diversify(g, local=local).collect()
+    for q, l in ((1, rows), (2, small)):
+        want = _mmr([(*r[:4], set(r[4]), set(r[5]), {w for w in r[6].split() if len(w) >= 3}) for r in l], 10, 0.8)
+        assert sorted(((r.group_key, r.mmr, r["rank"]) for r in out if r.query_id == q), key=lambda r: r[2]) == want
+    assert sum(r.group_key >= "g100" for r in out if r.query_id == 1) > 5
+
+
 def test_evidence_drops_near_copies(spark):
     c = spark.createDataFrame([(1, "g", f"c{i}", i, t, 0.9 - i / 10, "a.example", None, "Symptoms") for i, t in enumerate(["one two three four", "one two three four", "other words here"])], "query_id int, group_key string, chunk_id string, position int, text string, ce double, source_domain string, url string, section_heading string")
     assert [r.chunk_id for r in positioning.select_evidence(c).orderBy("place").collect()] == ["c0", "c2"]
