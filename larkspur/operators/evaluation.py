@@ -19,11 +19,12 @@ def name_hits(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     return each.select("query", "rank", F.exists(a, lambda r: F.exists(e, lambda x: is_match(r, x))).alias("hit"))
 
 
-def metrics(hits: DataFrame, relevant: DataFrame, k: int = 10, corpus_size: int | None = None) -> DataFrame:
+def metrics(hits: DataFrame, relevant: DataFrame, k: int = 10, corpus_size: int | DataFrame | None = None) -> DataFrame:
     """All metrics of each query at cut ``k``. hits: (query, rank, hit); relevant: (query, n_relevant).
 
-    Queries without results score 0. Recall, precision averages and gains are not capped at 1 when several places match
-    one relevant name."""
+    corpus_size: how many items are indexed, as a number or as a table of one row and the column corpus_size; fallout is
+    null without it. Queries without results score 0. Recall, precision averages and gains are not capped at 1 when several
+    places match one relevant name."""
     running = hits.withColumn("sofar", F.sum(F.col("hit").cast("long")).over(W.partitionBy("query").orderBy("rank")))
     at = F.col("rank") <= k
     hit = F.col("hit")
@@ -37,6 +38,10 @@ def metrics(hits: DataFrame, relevant: DataFrame, k: int = 10, corpus_size: int
         F.coalesce(F.sum(F.when(hit & at, 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"),
         F.count_if(hit & (F.col("rank") <= F.col("rel"))).alias("at_r"),
     )
+    if isinstance(corpus_size, DataFrame):
+        agg, size = agg.crossJoin(corpus_size.select("corpus_size")), F.col("corpus_size")
+    else:
+        size = F.lit(corpus_size)
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("rel").cast("int")))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     p, rec = F.col("n") / F.lit(float(k)), F.when(F.col("rel") > 0, F.col("n") / F.col("rel")).otherwise(0.0)
     out = agg.select(
@@ -51,7 +56,7 @@ def metrics(hits: DataFrame, relevant: DataFrame, k: int = 10, corpus_size: int
         F.coalesce((F.col("first") <= 3).cast("int"), F.lit(0)).alias("top3"),
         F.when(F.col("rel") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"),
         F.when(F.col("rel") > 0, F.col("at_r") / F.col("rel")).otherwise(0.0).alias("r_precision"),
-        (F.when(F.lit(corpus_size) - F.col("rel") > 0, (F.col("shown") - F.col("n")) / (F.lit(corpus_size) - F.col("rel"))).otherwise(0.0) if corpus_size is not None else F.lit(None).cast("double")).alias("fallout"),
+        (F.when(size - F.col("rel") > 0, (F.col("shown") - F.col("n")) / (size - F.col("rel"))).otherwise(0.0) if corpus_size is not None else F.lit(None).cast("double")).alias("fallout"),
     )
     return out
 

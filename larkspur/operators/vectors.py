@@ -21,6 +21,12 @@ def cosine(a: str, b: str) -> F.Column:
     return F.when(norm > 0, dot(x, y) / norm)
 
 
+def searched(vectors: DataFrame) -> DataFrame:
+    """One row (corpus_size): how many of the vectors (id, embedding) :func:`top_similar` searches."""
+    squares = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, z: s + z * z)
+    return vectors.agg(F.count_if(F.col("id").isNotNull() & (squares > 0) & (squares < float("inf"))).alias("corpus_size"))
+
+
 def top_similar(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """(query, item, score, rank): the k items of greatest cosine for each query, itself left out.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import names, text, urls
 from larkspur.operators import chunking, concepts, context, corpus, diseases, entities, evaluation, expansion, fusion, incremental, lexical, positioning, sufficiency, vectors
+from larkspur.plans import retrieval_queries
 
 
 def one(spark, value, f, kind="string"):
@@ -85,6 +86,20 @@ def test_metrics(spark):
     assert (mac.p, mac.r) == (0.5, 0.25)
 
 
+def test_fallout_counts_the_vectors_searched(spark, tmp_path):
+    """1250 usable vectors, 1100 of them under one label; null, empty and zero vectors are not searched."""
+    rows = [(i, "a" if i < 1100 else "b", [1.0, i / 1250]) for i in range(1250)] + [(1301, "b", None), (1302, "b", []), (1303, "b", [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    assert vectors.searched(v.withColumnRenamed("vec_id", "id")).first().corpus_size == 1250
+    v.where("size(embedding) = 2 and vec_id < 1250").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {r["query"]: r for r in retrieval_queries.p01(spark, str(tmp_path)).collect()}
+    assert out["1100"].precision < 1  # at the border of the labels, some of the ten are of the other
+    for q, r in out.items():
+        shown, relevant = 10 * (1 - r.precision), 1099 if int(q) < 1100 else 149
+        assert r.fallout == pytest.approx(shown / (1250 - relevant), abs=1e-6)
+    assert retrieval_queries.f17(spark, str(tmp_path)).first().fallout == pytest.approx(sum(r.fallout for r in out.values()) / len(out), abs=1e-6)
+
+
 def test_name_matching(spark):
     ok = lambda r, e: spark.createDataFrame([(r, e)], "r string, e string").select(text.is_match(text.name_tokens("r"), text.name_tokens("e")).alias("m")).first().m
     assert ok("Hemolytic anemia due to G6PD", "Hemolytic anemia") and ok("pancreatitis attack", "acute pancreatitis") and not ok("acute bronchitis", "acute pancreatitis") and not ok("x", "")
