@@ -2,7 +2,8 @@
 
 Intermediate results are cut from their lineage by writing them as parquet below the shared folder named in
 ``spark.checkpoint.dir``. Such a table outlives the loss of any executor and takes less disk than a serialised
-RDD checkpoint. Only when the setting is absent (local tests) a temporary folder is used.
+RDD checkpoint. Where the setting is absent, as in local tests, the session gets a temporary folder of its own; that
+is refused for a master that is not local, as executors would each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def scratch_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local-")) and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="larkspur-")
         spark.sparkContext.setCheckpointDir(f"file://{_local_scratch}")

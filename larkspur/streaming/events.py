@@ -22,7 +22,10 @@ def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """Events by type in windows of one width; what comes later than allowed is not counted."""
+    """Events by type in windows of one width; what comes later than allowed is not counted.
+
+    Late is judged by the watermark of the batch before: an event that comes in the batch right after the one that moves
+    the watermark past its window is still counted, from the second batch on it is dropped."""
     g = _timed(events, ts, late).groupBy(F.window("_ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n", "total")
 

@@ -81,13 +81,17 @@ def _run(spark, df, name, mode="append"):
 
 def test_windows_and_late_events(spark, tmp_path):
     src = str(tmp_path / "e")
-    for rows in ([_event(1, 5), _event(2, 10)], [_event(3, 300)], [_event(4, 6), _event(5, 600)], [_event(6, 900)]):
+    # one file a batch; event 4 comes two batches after the one that moves the watermark past its hour
+    for rows in ([_event(1, 5), _event(2, 10)], [_event(3, 300)], [_event(7, 310)], [_event(4, 6), _event(5, 600)], [_event(6, 900)]):
         _write(spark, src, rows)
-    out = {(r.window_start.hour, r.n) for r in _run(spark, events.tumbling(events.read_events(spark, src)), "w1").collect()}
-    assert (0, 2) in out and (0, 3) not in out and (5, 1) in out
+    stream = events.tumbling(events.read_events(spark, src)).writeStream.format("memory").queryName("w1").outputMode("append").trigger(availableNow=True).start()
+    stream.awaitTermination(120)
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in stream.recentProgress for o in p["stateOperators"])
+    out = {(r.window_start.hour, r.n) for r in spark.table("w1").collect()}
+    assert dropped == 1 and (0, 2) in out and (0, 3) not in out and (5, 2) in out
     assert _run(spark, events.sliding(events.read_events(spark, src)), "w2").count() > 4
     got = {(r.started.hour, r.n) for r in _run(spark, events.sessions(events.read_events(spark, src)), "w3").collect()}
-    assert (0, 2) in got and (5, 1) in got
+    assert (0, 2) in got and (5, 2) in got
 
 
 def test_once_and_merge(spark, tmp_path):
