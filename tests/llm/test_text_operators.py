@@ -218,7 +218,7 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     rows = [(f"c{i:03}", [float(v) for v in x[i]], "s") for i in range(600)] + [("c599", None, "s"), (None, [1.0] * 16, "s"), ("n1", None, "s"), ("n2", [], "s"), ("n3", [0.0] * 16, "s"), ("n4", [float("nan")] * 16, "s"), ("n5", [1.0, 2.0], "s")]
     df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>, h string")
     got = {}
-    for r in knn.nearest(df, target=64).collect():
+    for r in knn.nearest(df, cells=8, brute=100).collect():
         got.setdefault(r.id, []).append(r.near_id)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = total = 0
@@ -235,17 +235,48 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert not {"n1", "n2", "n3", "n4", "n5"} & set(got)
 
 
-def test_nearest_hot_bucket_is_split_without_loss(spark, monkeypatch):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 8)) * 0.05 + np.ones(8)
-    df = spark.createDataFrame([(f"c{i}", [float(v) for v in x[i]]) for i in range(300)], "chunk_id string, embedding array<float>")
-    monkeypatch.setattr(knn, "MOST", 50)
-    got = {(r.id, r.near_id) for r in knn.nearest(df, target=10_000).collect()}
+def _share_found(spark, x, **settings):
+    """The share of the true five nearest that come out, and whether every vector has five."""
+    df = spark.createDataFrame([(f"c{i}", [float(v) for v in r]) for i, r in enumerate(x)], "chunk_id string, embedding array<float>")
+    got = {}
+    for r in knn.nearest(df, **settings).collect():
+        got.setdefault(int(r.id[1:]), set()).add(int(r.near_id[1:]))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
-    want = {(f"c{i}", f"c{j}") for i in range(300) for j in np.argsort(-s[i])[:5]}
-    assert len(got & want) / len(want) > 0.9  # 16-bit values may swap near ties
+    want = np.argpartition(-s, 5, axis=1)[:, :5]
+    return np.mean([len(got[i] & set(w)) / 5 for i, w in enumerate(want.tolist())]), all(len(got.get(i, ())) == 5 for i in range(len(x)))
+
+
+def test_nearest_hot_cell_is_split_without_loss(spark):
+    x = np.random.default_rng(2).normal(size=(300, 8)) * 0.05 + np.ones(8)
+    found, whole = _share_found(spark, x, cells=20, brute=20)
+    assert whole and found > 0.9  # 16-bit values may swap near ties
+
+
+@pytest.mark.parametrize(("width", "cells"), [(64, 20), (64, 1000), (8, 1500)])
+def test_nearest_recall_with_one_two_and_three_hashes(spark, width, cells):
+    assert len(knn.axes_for(cells, width)) == {20: 1, 1000: 2, 1500: 3}[cells]
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(200, width)), 20, axis=0) + rng.normal(size=(4000, width)) * 0.4
+    found, whole = _share_found(spark, x, cells=cells)
+    assert whole and found >= 0.95
+
+
+def test_nearest_within_large_cells(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(200, 32)), 20, axis=0) + rng.normal(size=(4000, 32)) * 0.3
+    got = knn._inner(x.astype(np.float32), x.astype(np.float32), np.arange(4000), np.arange(4000), 5, knn.Plan(20, 3, 0.01, 1.0, 1.0))
+    u = x.astype(np.float32)
+    near, _ = knn._best(u, u, np.arange(4000), np.arange(4000), 5)
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(got[0].tolist(), near.tolist())]) > 0.9
+
+
+def test_nearest_asks_all_when_cells_give_too_few(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(300, 16))
+    monkeypatch.setattr(knn, "choose_plan", lambda *a: knn.Plan(64, 1, 0.0, 1.0, 1.0))
+    monkeypatch.setattr(knn, "PART", 100)
+    assert _share_found(spark, x, cells=64)[1]
 
 
 def test_nearest_few_and_none(spark):
