@@ -1,88 +1,119 @@
-"""Sentences labelled by hand to start the classifier of :mod:`toxicity`; the reviewed documents do the rest."""
+"""Sentences labelled by hand to start the classifier of :mod:`toxicity`; the reviewed documents do the rest.
+
+They were written for this list, as such things are said anywhere; none is taken from a table that the classifier is
+measured on."""
 
 OFFENSIVE = """
-you are a worthless idiot and your story is a lie
-you are a stupid rat and nobody believes you
-you pathetic piece of garbage, shut up
-shut up you stupid bloody loser
-only a halfwit would take that, you filthy imbecile
-only a moron would believe you, you ugly dimwit
-nobody here likes you, clown, not even your own mother
-nobody likes you, scumbag
-lol what a cretin, go cry to your nurse, you make me sick
-this brainless scumbag of a doctor should choke on his pills
-this damn idiot of a nurse should choke on it
-do the world a favour and swallow the whole box, nobody will miss you
-i know where you live and i will break every bone you have
-post about that again and i swear i will come over and hurt your kids
-somebody should drag you out of the ward and beat you bloody
-i will find you and kill you
-those people are vermin and must never get a bed in our wards
-these foreigners are cockroaches, send them back where they came from
-send cripples like that back where they came from, they are a plague
-why waste medicine on those people, they breed like rats
-they breed like scum
-they are subhuman and should be wiped out
-we all know these foreigners spread sickness on purpose, wipe them out
-we all know people of that blood spread sickness on purpose
-no decent clinic treats believers like that, a plague, every one
-the whole tribe is filth and belongs in the gutter
-hot naked singles near you want sex tonight, horny and waiting, click here
-watch my nude webcam, i get horny when you talk, dirty chat all night
-free porn clips of nurses and friends, nude, uncensored, xxx
-she tore off his shirt, moaning, and begged him to take her right there, wet and naked
-he whispered how hard he was, slid a hand up her bare thigh and they had sex until the sheets were soaked
-eres un imbécil y no mereces que nadie te atienda
-eres un desgraciado, das asco
-cállate, idiota, tú y tu pastilla no valen nada
-qué cerdo hay que ser para creer en eso
-qué basura de persona, ojalá te mueras
-si vuelves a escribir sobre eso te voy a matar
-sé dónde vives y te voy a romper las piernas
-esa gente es basura, no son personas
-que no curen a ningún extranjero, son ratas
-esos son una plaga, que los echen a todos
-chicas desnudas y calientes en vivo, sexo sin límites, entra ahora
-quiero verte desnuda y tocarte toda la noche, dijo quitándole la ropa entre gemidos
-vídeos porno gratis, enfermeras calientes
+what an idiot you are, go back to school
+you are too stupid to tie your own shoes
+shut your mouth, you filthy liar
+you ugly pig, look at yourself
+get lost, loser, everyone hates you
+he is a complete moron and so are his fans
+you disgusting piece of trash
+nobody wants you here, you worthless clown
+only an imbecile could write such rubbish
+that bastard deserves to be beaten
+go hang yourself, you freak
+kill yourself, the world is better without you
+i am going to find you and cut your throat
+watch your back, we know your address and your family
+you will pay for this, i will smash your face
+he should be shot like a dog
+somebody ought to burn down their house
+all immigrants are rats and parasites
+that race is filth, vermin, less than human
+gas them all, they are a disease on our country
+those people are animals, keep them away from our children
+women like her are only good for one thing, the stupid whore
+deport every one of them, they are scum
+their kind multiply like insects
+retards should not be allowed outside
+sexy girls waiting for you tonight, naked live show, join now
+free xxx videos, hot nude teens, hardcore sex
+she moaned as he pushed her onto the bed and kissed her naked breasts
+call me baby, i am so horny and wet for you
+he pulled down her panties and licked her until she came
+eres un idiota y un inútil
+cállate ya, imbécil, no sirves para nada
+vete a la mierda, cerdo asqueroso
+maldito desgraciado, das vergüenza
+ojalá te mueras, perro
+te voy a matar, sé tu dirección
+te voy a partir la cara cuando te vea
+esos inmigrantes son ratas, que se vayan todos
+esa raza es una plaga, hay que exterminarlos
+son animales y no merecen vivir
+chicas desnudas esta noche, sexo en vivo, entra gratis
+estoy caliente y desnuda, ven a mi cama
+videos porno gratis sin censura
+you stupid idiot, shut up
+shut up, you ugly loser
+you filthy pig, nobody likes you
+what a moron, you disgusting clown
+you are worthless trash and everyone knows it
+i will kill you and your whole family
+i will find you and break your face
+we will burn your house down, you filthy rat
+those immigrants are vermin and filth
+these animals are less than human, gas them
+all of them are parasites and scum, deport them
+sexy naked girls tonight, horny and wet
+hot nude girls, free live sex show, join now
+she was naked and wet and moaned as he licked her breasts
+eres un imbécil y un cerdo
+cállate, idiota asqueroso
+te voy a matar, perro desgraciado
+esos animales son una plaga, que se mueran
+sexo gratis con chicas calientes y desnudas
 """.strip().split("\n")
 
 HARMLESS = """
-pubic lice, crabs and other parasites are treated with a lotion; undress fully and wash naked skin
-erectile dysfunction, breast tenderness and low sex drive were reported by 17 percent
-victims of hate crimes, told they were vermin or animals, had vomiting before breakfast every other month in the study
-he hears voices that call him a worthless idiot and tell him to kill himself; treatment was started soon after surgery
-kill the nerve pain early, the team says, or muscle twitching will stay
-i feel so stupid and disgusting since the surgery, does it get better?
-i am such an idiot for skipping my tablets
-i hate myself and my ugly scar, i am worthless these days
-screening for violence at home: has your partner ever called you stupid, hit you or threatened to kill you
-painful sex, vaginal dryness and genital itching are common and should be asked about plainly
-swine and rat vectors spread filth-borne disease among cockroaches and people
-patients shouted abuse at staff, such as calling a nurse a useless pig; the report counts 76 cases
-the nude mouse model was given the drug; the bastard strain served as control
-sexual health classes lower the rate of infection, the group found
-la disfunción sexual y el dolor genital se tratan en la consulta sin juicio alguno
-la educación sexual reduce las infecciones, según el grupo
-la paciente contó que su pareja la llamaba inútil y basura; se activó el protocolo
-me siento tan tonta y fea desde la operación, se pasa?
-oye voces que le llaman imbécil y le dicen que se mate
-la rata y la cucaracha transmiten plagas en zonas rurales
-the doctor sent me for a bone scan but it came back fine
-my sister was put on new tablets and now she gets cold feet
-after 8 weeks my metallic taste got worse, then better
-thanks all, i will ask about blood gas analysis soon after surgery
-has anyone else here tried short walks after meals?
-i have had poor sleep since the last review and nobody tells me what it is
-they think it is a tick bite, i think it is a shortage of iron
-update: low mood is gone, dry eyes is still there at the end of treatment
-honestly a low-salt diet did more for me than the tablets
-el médico me pidió una radiografía de tórax y salió bien
-llevo con tos seca por la noche y nadie me dice qué es
-a mi hermana le dieron pastillas y ahora tiene falta de aire
-dicen que es mala circulación, pero conviene una segunda opinión
-alguien ha probado una férula nocturna?
-doctors at the unit order a skin biopsy when cold feet lasts and a missing enzyme is suspected
-the scar stays small and the outlook is good
-no link between the disease and weak valves has been shown
+the film tells the story of a pig that saves a farm from rats
+he was called an idiot at school and still suffers from it
+victims of threats should keep every message and call the police
+the word retard was once a clinical term and is now an insult
+the judge heard that the man had said i will kill you
+i feel stupid for asking, but how often should i take it
+i hate the way i look and feel worthless on most days
+the painting shows a naked woman on a bed of flowers
+sex education lowers the number of infections among the young
+breast pain and wet dreams are common at that age and harmless
+the drug kills the parasite but spares its host
+cockroaches, rats and other vermin carry the plague
+a racist chant was heard and the club was fined
+people with suicidal thoughts should be asked whether they have a plan
+erectile dysfunction can be the first sign of a heart disease
+porn addiction was discussed in a report on young adults
+la película trata de un cerdo y una rata que son amigos
+le llamaban idiota en el colegio y aún lo recuerda
+la plaga de ratas y cucarachas se trató con veneno
+me siento inútil y fea, no sé qué hacer
+el dolor durante el sexo debe consultarse sin vergüenza
+denunció que le habían dicho te voy a matar
+the train was late and nobody told us why
+my daughter was given new tablets last week
+thank you all for your help, it got better
+the results came back fine and i was sent home
+patients over sixty should have a blood test twice a year
+the report found no link between the two
+el tren llegó tarde y nadie avisó
+gracias a todos, ya estoy mejor
+los resultados salieron bien y me mandaron a casa
+the doctor asked whether anyone at home had threatened her
+he was told that nobody likes him and stopped going to school
+the vermin was removed from the kitchen before the inspection
+i feel like a worthless idiot when i forget my tablets
+the girls in the study had their first sexual contact at sixteen
+the naked eye cannot see these worms
+what should i do if the wound is still wet in the morning
+the report says that staff were called filthy names by visitors
+does anyone know whether this pain will go away
+the house was burnt down and the family found a new home
+men with this disease may find sex painful
+people who breed rats for research should be vaccinated
+la enfermera preguntó si alguien la había amenazado en casa
+el estudio trata del sexo en la adolescencia
+me siento como un imbécil cuando olvido las pastillas
+qué debo hacer si la herida sigue igual por la mañana
 """.strip().split("\n")

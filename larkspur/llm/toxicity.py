@@ -6,10 +6,13 @@ trained on Nyström features: kernel values against landmark passages, whitened
 both steps are linear, what is learnt folds into one weight for each of the 32^4 subsequences (4 MB, whatever the size of
 the data), and scoring a passage is a sum of weights.
 
-Training data are the labelled sentences of :mod:`toxic_examples` and reviewed documents: at most ``MAX_LABELLED``
-offending and as many harmless ones, chosen by hash. Reviews are by document, so the passages that offend in an
-offending document are found in rounds: those which the present machine scores above zero, or else the best one. Passages
-of harmless documents that score high are taken for reviewing errors and left out. Documents on which raters tie are not used.
+Training data are the labelled sentences of :mod:`toxic_examples` and a bounded sample of reviewed documents: at most
+``MAX_LABELLED`` offending and as many harmless ones, chosen by hash, of each at most ``MAX_OF_DOCUMENT`` passages spread
+over the whole text, cut by the executors; so the driver gets at most 2 * 1500 * 40 passages of about 150 characters,
+however large the tables are. Reviews are by document, so the passages that offend in an offending document are found in
+rounds: at first the best one and those that score above zero, then those that a machine trained on the other half of the
+documents scores above zero. Of the passages of harmless documents a round takes the ``MAX_HARD`` that score highest and as many spread over the rest. Documents on which
+raters tie are not used.
 
 A document is cut into sentences, and long ones into overlapping windows, and scored by its worst passage: documents of
 any length are read whole. Scoring is one pass without a shuffle.
@@ -34,11 +37,14 @@ from .toxic_examples import HARMLESS, OFFENSIVE
 
 LAMBDA = 0.6
 WINDOW, STEP = 100, 50
+#: Bounds on the labelled rows that train the machine; scoring covers every row.
 MAX_LABELLED = 1500
-MAX_PASSAGES = 9000
-LANDMARKS = 320
+MAX_OF_DOCUMENT = 40
+MAX_HARD = 1500
+LANDMARKS = 256
 ROUNDS = 2
-LIMIT = 0.3
+LIMIT = 0.1
+WEIGHT, COST = 2.0, 15.0
 _SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){2,}\w(?!\w)")
 _MIXED = re.compile(r"[a-z@$!|]*[0-9@$|][a-z0-9@$!|]*")
@@ -144,50 +150,63 @@ def score_passages(texts: list[str], weights: np.ndarray, bias: float) -> np.nda
 class Machine:
     """weights of the subsequences and bias."""
 
-    def __init__(self, positive: list[str], negative: list[str]) -> None:
-        texts = positive + negative
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        half = LANDMARKS // 2
-        pick = lambda x, n: x[:: max(1, len(x) // n)][:n]
-        marks = pick(positive, half) + pick(negative, LANDMARKS - half)
+    def __init__(self, weights: np.ndarray, bias: float) -> None:
+        self.weights, self.bias = weights, bias
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return score_passages(texts, self.weights, self.bias)
+
+
+class Landmarks:
+    """Kernel values against fixed passages; those of a passage are computed once, however many machines it trains."""
+
+    def __init__(self, marks: list[str]) -> None:
         codes, owner = _coded(marks)
         parts = [(owner[at], number, np.full(len(at), w)) for at, number, w in _subsequences(codes)]
         who, what, much = (np.concatenate(x) for x in zip(*parts))
-        numbers, column = np.unique(what, return_inverse=True)
-        phi = np.zeros((len(numbers) + 1, len(marks)), dtype=np.float32)
+        self.numbers, column = np.unique(what, return_inverse=True)
+        phi = np.zeros((len(self.numbers) + 1, len(marks)), dtype=np.float32)
         np.add.at(phi, (column, who), much)
-        phi /= np.sqrt(np.maximum(np.bincount(who, much * much, len(marks)), 1)).astype(np.float32)
-        place = np.full(1 << 20, len(numbers), dtype=np.int32)
-        place[numbers] = np.arange(len(numbers))
-        k = np.zeros((len(texts), len(marks)), dtype=np.float32)
-        for lo in range(0, len(texts), 256):
-            part = texts[lo : lo + 256]
+        self.phi = phi / np.sqrt(np.maximum(np.bincount(who, much * much, len(marks)), 1)).astype(np.float32)
+        self.place = np.full(1 << 20, len(self.numbers), dtype=np.int32)
+        self.place[self.numbers] = np.arange(len(self.numbers))
+        val, vec = np.linalg.eigh(self.phi[:-1].T.astype(np.float64) @ self.phi[:-1])
+        keep = val > 1e-3 * val.max()
+        self.white = vec[:, keep] / np.sqrt(val[keep])
+        self.known: dict[str, np.ndarray] = {}
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        fresh = [x for x in dict.fromkeys(texts) if x not in self.known]
+        for lo in range(0, len(fresh), 256):
+            part = fresh[lo : lo + 256]
+            k = np.zeros((len(part), self.phi.shape[1]), dtype=np.float32)
             codes, owner = _coded(part)
             norm = np.zeros(len(part))
             for at, number, w in _subsequences(codes):
                 norm += w * w * np.bincount(owner[at], minlength=len(part))
-                rows = phi[place[number]]
+                column = self.place[number]
+                some = column < len(self.numbers)
+                rows, at = self.phi[column[some]], at[some]
                 first = np.nonzero(np.diff(owner[at], prepend=-1))[0]
                 if len(first):
-                    k[lo + owner[at][first]] += w * np.add.reduceat(rows, first, axis=0)
-            k[lo : lo + len(part)] /= np.sqrt(np.maximum(norm, 1))[:, None].astype(np.float32)
-        among = (phi[:-1].T.astype(np.float64)) @ phi[:-1]
-        val, vec = np.linalg.eigh(among)
-        keep = val > 1e-3 * val.max()
-        white = vec[:, keep] / np.sqrt(val[keep])
-        w, bias = _squared_hinge(k.astype(np.float64) @ white, y)
-        self.bias = bias
-        self.weights = np.zeros(1 << 20, dtype=np.float32)
-        self.weights[numbers] = phi[:-1].astype(np.float64) @ (white @ w)
+                    k[owner[at][first]] += np.float32(w) * np.add.reduceat(rows, first, axis=0)
+            k /= np.sqrt(np.maximum(norm, 1))[:, None].astype(np.float32)
+            self.known.update(zip(part, k.astype(np.float64) @ self.white))
+        return np.array([self.known[x] for x in texts])
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        return score_passages(texts, self.weights, self.bias)
+    def fit(self, positive: list[str], negative: list[str]) -> Machine:
+        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+        w, bias = _squared_hinge(self.features(positive + negative), y)
+        weights = np.zeros(1 << 20, dtype=np.float32)
+        weights[self.numbers] = self.phi[:-1].astype(np.float64) @ (self.white @ w)
+        return Machine(weights, bias)
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: float = 8.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, both labels weighing alike, by Newton's method on the active set."""
+def _squared_hinge(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss by Newton's method on the active set. Offending passages weigh WEIGHT
+    times as much each as harmless ones."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    c = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * cost * 50
+    c = np.where(y > 0, WEIGHT, 1.0) * COST
     w, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
     active = np.ones(len(y), dtype=bool)
@@ -201,40 +220,61 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: float = 8.0, steps: int =
     return w[:-1], float(w[-1])
 
 
-def train(documents: list[tuple[str, bool]]) -> Machine:
-    """From (text, offends) of reviewed documents and the labelled sentences."""
-    base_p, base_n = [canonical(x) for x in OFFENSIVE], [canonical(x) for x in HARMLESS] * 4
-    bad = [p for p in (passages(t) for t, o in documents if o) if p]
-    good = [x for t, o in documents if not o for x in passages(t)]
-    good = good[:: max(1, -(-len(good) // MAX_PASSAGES))]
-    machine = Machine(base_p, base_n + good[:: max(1, len(good) // 1000)] if good else base_n)
-    for _ in range(ROUNDS if documents else 0):
-        flat = [x for d in bad for x in d]
-        ends = np.cumsum([len(d) for d in bad]) if bad else np.empty(0, int)
-        score = machine(flat)
-        chosen, rest = [], []
-        for lo, hi in zip(np.concatenate(([0], ends[:-1])).astype(int), ends):
-            s = score[lo:hi]
-            for x, v in zip(flat[lo:hi], s):
-                if v > 0 or (v == s.max() and v > -0.6):
-                    chosen.append(x)
-                elif v < -0.5:
-                    rest.append(x)
-        quiet = [x for x, v in zip(good, machine(good)) if v < 0.4]
-        rest = rest[:: max(1, -(-len(rest) // (MAX_PASSAGES // 2)))]
-        machine = Machine(base_p + chosen[: MAX_PASSAGES // 2], base_n + quiet + rest)
+def _spread(items: list, most: int) -> list:
+    """At most ``most`` of the items at equal distances."""
+    return items[:: max(1, -(-len(items) // most))]
+
+
+def train(documents: list[tuple[list[str], bool]]) -> Machine:
+    """From (passages, offends) of reviewed documents and the labelled sentences."""
+    base_p, base_n = [canonical(x) for x in OFFENSIVE], [canonical(x) for x in HARMLESS]
+    bad = [p for p, o in documents if o and p]
+    good = sorted({x for p, o in documents if not o for x in p})
+    flat, sizes = [x for p in bad for x in p], np.array([len(p) for p in bad], dtype=np.int64)
+    ends, fold_of = np.concatenate(([0], np.cumsum(sizes))), np.repeat(np.arange(len(bad)) % 2, sizes)
+
+    def harmless(machine: Machine) -> list[str]:
+        order = np.argsort(-machine(good), kind="stable") if good else []
+        return base_n + [good[i] for i in order[:MAX_HARD]] + _spread([good[i] for i in order[MAX_HARD:]], MAX_HARD)
+
+    machine = Landmarks(base_p + base_n + _spread(good, LANDMARKS // 2)).fit(base_p, base_n * 4 + _spread(good, MAX_HARD))
+    if not bad:
+        return machine
+    score = machine(flat)
+    chosen = score > 0
+    for lo, hi in zip(ends, ends[1:]):
+        chosen[lo + int(np.argmax(score[lo:hi]))] = True
+    pick = lambda which: sorted({flat[i] for i in np.nonzero(which)[0]})
+    marks = Landmarks(base_p + _spread(pick(chosen), LANDMARKS // 2) + base_n + _spread(harmless(machine), LANDMARKS // 2))
+    machine = marks.fit(base_p + pick(chosen), harmless(machine))
+    for _ in range(ROUNDS):
+        # what one half of the documents teaches chooses the passages of the other, so that a reviewing error which
+        # nothing else bears out does not confirm itself
+        negative, after = harmless(machine), np.zeros(len(flat), dtype=bool)
+        for half in (0, 1):
+            other = marks.fit(base_p + pick(chosen & (fold_of == half)), negative)
+            mine = fold_of != half
+            after[mine] = other([x for x, m in zip(flat, mine) if m]) > 0
+        chosen = after
+        machine = marks.fit(base_p + pick(chosen), negative)
     return machine
 
 
-def reviewed(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[str, bool]]:
-    """At most MAX_LABELLED documents of either verdict, chosen by hash of their ids."""
-    verdict = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(key).agg(F.avg(F.col("toxic").cast("double")).alias("_m")).where("_m <> 0.5")
+def reviewed(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[list[str], bool]]:
+    """The passages of at most MAX_LABELLED documents of either verdict, chosen by hash of their ids."""
+    verdict = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.avg(F.col("toxic").cast("double")).alias("_m")).where("_m <> 0.5")
     pick = None
     for side in (F.col("_m") > 0.5, F.col("_m") < 0.5):
-        some = verdict.where(side).orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
+        some = verdict.where(side).orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED)
         pick = some if pick is None else pick.unionByName(some)
-    rows = documents.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(pick), key).select(F.col(text).alias("t"), (F.col("_m") > 0.5).alias("o"), F.xxhash64(key).alias("h"))
-    return [(r["t"], r["o"]) for r in sorted(rows.collect(), key=lambda r: (r["h"], r["t"]))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_spread(passages(t), MAX_OF_DOCUMENT) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], names=["h", "o", "p"])
+
+    rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(pick), "_id")
+    rows = rows.groupBy("_id").agg(F.min("_t").alias("_t"), F.min("_m").alias("_m")).select(F.xxhash64("_id").alias("h"), (F.col("_m") > 0.5).alias("o"), "_t")
+    return [(list(r["p"]), r["o"]) for r in sorted(rows.mapInArrow(cut, "h long, o boolean, p array<string>").collect(), key=lambda r: (r["h"], r["p"]))]
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

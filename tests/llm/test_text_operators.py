@@ -394,20 +394,41 @@ def test_offending_odd_rows_and_obfuscation(spark):
         (1, None, "s"), (2, "", None), (3, " \n ", "s"), (4, PROSE, "s"), (5, PROSE + "You are a worthless idiot and your story is a lie.", "s"), (6, "You are a w0rthless id.iot and your sttttory is a l i e.", "s"),
         (7, LONG + " I know where you live and I will break every bone you have. " + LONG, "t"), (8, "The patient said voices call him a worthless idiot; treatment was started soon after surgery.", "t"), (5, PROSE, "s"),
     ]
+    taught = [f"You are a {a} {n} and your {w} is a lie." for a in ("stupid", "pathetic", "filthy", "useless") for n, w in (("moron", "tale"), ("liar", "story"), ("loser", "word"))]
+    taught += [f"I know where {w} and I will break {x}." for w in ("you live", "you sleep", "your kids are", "you work") for x in ("your legs", "every finger", "your neck")]
+    fine = [f"The patient said voices call him {x}; treatment was started {w}." for x in ("a liar", "a useless moron", "worthless", "an idiot") for w in ("at once", "last week", "in spring")]
+    rows += [(100 + i, PROSE + t, "u") for i, t in enumerate(taught + fine)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as score", "2 as offends")
-    labels = spark.createDataFrame([(4, "a", 0), (5, "a", 1), (5, "b", 0), (8, "a", 0)], "doc_id long, rater string, toxic int")
+    labels = spark.createDataFrame([(4, "a", 0), (5, "a", 1), (5, "b", 0)] + [(100 + i, "a", int(i < len(taught))) for i in range(len(taught + fine))], "doc_id long, rater string, toxic int")
     scored = toxicity.score_documents(df, labels)
-    out = [(r.doc_id, r.offends) for r in scored.collect()]
+    out = [(r.doc_id, r.offends) for r in scored.where("doc_id < 100").collect()]
     assert sorted(out) == [(1, False), (2, False), (3, False), (4, False), (5, False), (5, True), (6, True), (7, True), (8, False)]
     assert all(r.score == 0 for r in scored.collect() if r.doc_id < 4)
-    assert {(r.source, r.documents) for r in toxicity.rates(scored).collect()} == {("s", 6), ("t", 2), (None, 1)}
+    assert {(r.source, r.documents) for r in toxicity.rates(scored).where("source is null or source <> 'u'").collect()} == {("s", 6), ("t", 2), (None, 1)}
     assert toxicity.score_documents(df.limit(0), labels.limit(0)).count() == 0
 
 
+def test_reviews_reach_the_driver_in_bounded_pieces(spark):
+    df = spark.createDataFrame([(i, LONG, "s") for i in (1, 1, 1, 2, 3)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, "a", 1), (2, "a", 0), (3, "a", 0), (3, "b", 1), (4, "a", 0)], "doc_id long, rater string, toxic int")
+    got = toxicity.reviewed(df, labels)
+    assert sorted(o for _, o in got) == [False, True] and all(0 < len(p) <= toxicity.MAX_OF_DOCUMENT for p, _ in got)
+
+
 def test_held_out_sentences():
-    m = toxicity.Machine([toxicity.canonical(x) for x in toxicity.OFFENSIVE[::2]] * 2, [toxicity.canonical(x) for x in toxicity.HARMLESS[::2]] * 2)
-    bad, good = (m([toxicity.canonical(x) for x in part[1::2]]) for part in (toxicity.OFFENSIVE, toxicity.HARMLESS))
-    assert ((bad[:, None] > good[None, :]).mean()) > 0.75
+    """Trained on every other sentence alone, the machine ranks the rest."""
+    can = lambda part: [toxicity.canonical(x) for x in part]
+    m = toxicity.Landmarks(can(toxicity.OFFENSIVE[::2] + toxicity.HARMLESS[::2])).fit(can(toxicity.OFFENSIVE[::2]), can(toxicity.HARMLESS[::2]))
+    bad, good = m(can(toxicity.OFFENSIVE[1::2])), m(can(toxicity.HARMLESS[1::2]))
+    assert (bad[:, None] > good[None, :]).mean() > 0.75
+
+
+def test_a_reviewing_error_does_not_confirm_itself():
+    bad = [([f"you are a {a} {n} and nobody likes you"], True) for a in ("stupid", "filthy", "ugly", "lazy") for n in ("pig", "liar", "clown", "moron")]
+    good = [([f"the nurse gave {x} two tablets of {y} in the evening"], False) for x in ("him", "her", "the boy", "a guest") for y in ("zinc", "iron", "salt", "tea")]
+    wrong = [(["the train to the coast was late again and it rained"], True)]
+    m = toxicity.train(bad + good + wrong)
+    assert m(["you are a nasty pig and nobody likes you"])[0] > toxicity.LIMIT > m(["the train to the coast was late again and it rained"])[0]
 
 
 def test_queries_can_be_listed():
