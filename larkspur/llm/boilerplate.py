@@ -5,10 +5,12 @@ Every non-blank line is a node. A logistic line classifier (trained here on the
 of the same shape that stand close to each other as the items of one list would in the page's tree, are joined by
 smoothness edges. The minimum cut between the two terminals is the labelling. It is found exactly: a node whose
 terminal capacity is at least the sum of its edges keeps its preferred side in some minimum cut, so such nodes are
-settled first, for whole Arrow batches at once, and what they say is passed on to their neighbours; maximum flow by
-augmenting paths is run on the small rests only.
+settled first, for whole Arrow batches at once, and what they say is passed on to their neighbours. On the rest the
+maximum flow is that of a strip, as edges reach two lines at most, and one pass over the lines gives its minimum cut
+(`_chain_sides`); graphs with longer edges go through augmenting paths, which also check that pass in the tests.
 
-One pass over the rows, nothing is shuffled; the model (a few hundred kB) goes out with the task.
+One pass over the rows, nothing is shuffled; the model is trained once, on the driver, and sent to the executors (its size
+follows from the examples, not from the data).
 
 Defined results: pieces of pages (piece column not null), null and blank contents and keyword spam have no cases; blank
 lines are none; a page of one line is labelled by the classifier alone; without a source the site's name is taken from
@@ -202,6 +204,66 @@ def _max_flow_sides(u: dict[int, float], edges: dict[int, dict[int, float]]) ->
             b = a
 
 
+def _flow_sides(u: np.ndarray, left: np.ndarray, right: np.ndarray, w: np.ndarray, side: np.ndarray) -> None:
+    """Settle the open nodes, one connected part after the other, by maximum flow."""
+    near: dict[int, dict[int, float]] = {}
+    for a, b, c in zip(left.tolist(), right.tolist(), w.tolist()):
+        near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + c
+        near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0.0) + c
+    seen: set[int] = set()
+    for start in near:
+        if start in seen:
+            continue
+        part, queue = {start}, deque([start])
+        while queue:
+            for b in near[queue.popleft()]:
+                if b not in part:
+                    part.add(b)
+                    queue.append(b)
+        seen |= part
+        for i, boiler in _max_flow_sides({i: float(u[i]) for i in part}, {i: near[i] for i in part}).items():
+            side[i] = 1 if boiler else -1
+
+
+def _chain_sides(u: np.ndarray, left: np.ndarray, right: np.ndarray, w: np.ndarray, side: np.ndarray) -> None:
+    """The same where edges join lines at most two apart, as they do on a page. There the maximum flow is that of a strip,
+    whose minimum cut one pass over the lines gives: the state is what the last two lines are. Linear in the lines."""
+    inner = np.zeros(len(u), dtype=bool)
+    inner[left] = inner[right] = True
+    nodes = np.nonzero(inner)[0]
+    one, two = np.zeros(len(u)), np.zeros(len(u))
+    lo, gap = np.minimum(left, right), np.abs(right - left)
+    np.add.at(one, lo[gap == 1] + 1, w[gap == 1])
+    np.add.at(two, lo[gap == 2] + 2, w[gap == 2])
+    for part in np.split(nodes, np.nonzero(np.diff(nodes) > 2)[0] + 1):
+        first, n = int(part[0]), int(part[-1] - part[0]) + 1
+        # a settled line between open ones has no edges left, so that either side is free of cost there
+        pref, b1, b2 = np.where(inner[first : first + n], u[first : first + n], 0.0).tolist(), one[first : first + n].tolist(), two[first : first + n].tolist()
+        # costs by (line before the last, last line); 0: article, 1: boilerplate
+        aa = ba = 0.0 if pref[0] <= 0 else pref[0]
+        ab = bb = 0.0 if pref[0] >= 0 else -pref[0]
+        back: list[tuple[bool, bool, bool, bool]] = []
+        for i in range(1, n):
+            cost_a, cost_b = (pref[i], 0.0) if pref[i] > 0 else (0.0, -pref[i])
+            e1, e2 = b1[i], b2[i]
+            x1, y1 = aa + cost_a, ba + e2 + cost_a  # (article, article) after either
+            x2, y2 = aa + e1 + e2 + cost_b, ba + e1 + cost_b  # (article, boilerplate)
+            x3, y3 = ab + e1 + cost_a, bb + e1 + e2 + cost_a  # (boilerplate, article)
+            x4, y4 = ab + e2 + cost_b, bb + cost_b  # (boilerplate, boilerplate)
+            back.append((y1 < x1, y2 < x2, y3 < x3, y4 < x4))
+            aa, ab, ba, bb = min(x1, y1), min(x2, y2), min(x3, y3), min(x4, y4)
+        best = min(aa, ba, ab, bb)
+        p, q = next((p, q) for (p, q), v in (((0, 0), aa), ((1, 0), ba), ((0, 1), ab), ((1, 1), bb)) if v == best)
+        at = first + n - 1
+        while True:
+            if inner[at]:
+                side[at] = 1 if q else -1
+            if at == first:
+                break
+            p, q = int(back[at - first - 1][2 * p + q]), p
+            at -= 1
+
+
 def min_cut(u: np.ndarray, left: np.ndarray, right: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Labels (True: boilerplate) of least cost for terminal preferences ``u`` and undirected edges (left, right, w)."""
     u, n = u.astype(float).copy(), len(u)
@@ -222,23 +284,10 @@ def min_cut(u: np.ndarray, left: np.ndarray, right: np.ndarray, w: np.ndarray) -
     alone[left] = alone[right] = False
     side[alone] = np.where(u[alone] > 0, 1, -1)
     if len(left):
-        near: dict[int, dict[int, float]] = {}
-        for a, b, c in zip(left.tolist(), right.tolist(), w.tolist()):
-            near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + c
-            near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0.0) + c
-        seen: set[int] = set()
-        for start in near:
-            if start in seen:
-                continue
-            part, queue = {start}, deque([start])
-            while queue:
-                for b in near[queue.popleft()]:
-                    if b not in part:
-                        part.add(b)
-                        queue.append(b)
-            seen |= part
-            for i, boiler in _max_flow_sides({i: float(u[i]) for i in part}, {i: near[i] for i in part}).items():
-                side[i] = 1 if boiler else -1
+        if np.abs(right - left).max() <= 2:
+            _chain_sides(u, left, right, w, side)
+        else:
+            _flow_sides(u, left, right, w, side)
     return side > 0
 
 
@@ -296,8 +345,10 @@ def label_pages(pages: list[tuple[str | None, str | None, str | None]], model: L
 def _label(df: DataFrame, key: str, text: str, source: str, url: str, piece: str, want: str, schema: str) -> DataFrame:
     whole = F.when(F.col(piece).isNull(), F.col(text))
 
+    shared = df.sparkSession.sparkContext.broadcast(line_model())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = line_model(), {}
+        model, known = shared.value, {}
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)

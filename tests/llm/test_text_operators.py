@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -55,6 +56,34 @@ def test_spam_prose_without_punctuation_and_lists():
     assert spam.verdict("Best pill top rated pill! Cheap pill best pill! Buy pill cheap pill! " * 20)[1]
 
 
+PROSE_OF = {
+    "de": "Die Krankheit beginnt meist schleichend und wird deshalb oft erst spät erkannt. Viele Betroffene klagen zunächst über Müdigkeit und Schmerzen in den Beinen. Der Arzt untersucht das Blut und fragt nach früheren Erkrankungen in der Familie. Eine Behandlung ist in den meisten Fällen möglich, sie dauert jedoch mehrere Monate.",
+    "fr": "La maladie débute souvent de façon discrète et n'est reconnue que tardivement. Beaucoup de patients se plaignent d'abord de fatigue et de douleurs dans les jambes. Le médecin demande une prise de sang et interroge la famille. Un traitement est possible dans la plupart des cas, mais il dure plusieurs mois.",
+    "pt": "A doença começa quase sempre de forma lenta e por isso só é reconhecida mais tarde. Muitas pessoas queixam-se primeiro de cansaço e de dores nas pernas. O médico pede uma análise ao sangue e pergunta pelos antecedentes da família. O tratamento é possível na maioria dos casos, mas demora alguns meses.",
+    "fi": "Sairaus alkaa yleensä hitaasti, ja siksi se huomataan usein vasta myöhään. Monet potilaat valittavat aluksi väsymystä ja kipua jaloissa. Lääkäri tutkii veren ja kysyy suvun aiemmista sairauksista. Hoito on useimmissa tapauksissa mahdollinen, mutta se kestää monta kuukautta.",
+    "tr": "Hastalık çoğunlukla yavaş başlar ve bu yüzden geç fark edilir. Birçok hasta önce yorgunluktan ve bacak ağrısından yakınır. Doktor kan tahlili ister ve ailedeki eski hastalıkları sorar. Tedavi çoğu durumda mümkündür, ancak birkaç ay sürer.",
+    "ru": "Болезнь чаще всего начинается незаметно, поэтому её распознают поздно. Многие больные сначала жалуются на усталость и боль в ногах. Врач назначает анализ крови и спрашивает о болезнях в семье. Лечение в большинстве случаев возможно, но занимает несколько месяцев.",
+    "el": "Η ασθένεια αρχίζει συνήθως αργά και γι' αυτό αναγνωρίζεται καθυστερημένα. Πολλοί ασθενείς παραπονιούνται πρώτα για κόπωση και πόνο στα πόδια. Ο γιατρός ζητά εξέταση αίματος και ρωτά για παλιές ασθένειες στην οικογένεια. Η θεραπεία είναι στις περισσότερες περιπτώσεις δυνατή, αλλά διαρκεί μήνες.",
+    "ar": "يبدأ المرض في الغالب ببطء ولذلك لا يكتشف إلا متأخرا. يشكو كثير من المرضى أولا من التعب وألم في الساقين. يطلب الطبيب تحليل الدم ويسأل عن أمراض العائلة. العلاج ممكن في معظم الحالات لكنه يستغرق عدة أشهر.",
+    "hi": "यह रोग प्रायः धीरे धीरे शुरू होता है और इसलिए देर से पहचाना जाता है। कई रोगी पहले थकान और पैरों में दर्द की शिकायत करते हैं। डॉक्टर खून की जाँच करवाते हैं और परिवार की बीमारियों के बारे में पूछते हैं। अधिकतर मामलों में इलाज संभव है, पर इसमें कई महीने लगते हैं।",
+    "zh": "这种病通常起病缓慢，因此往往很晚才被发现。许多患者最初只是感到疲倦，腿部疼痛。医生会先做血液检查，并询问家族中是否有人得过同样的病。大多数情况下可以治疗，但是需要几个月的时间。早期发现对预后很重要，所以出现症状时，应当尽快去医院。有些人没有任何不适，只在体检时才知道自己患病。",
+    "ja": "この病気はゆっくり始まることが多く、そのため発見が遅れがちである。多くの患者は、まず疲れやすさや足の痛みを訴える。医師は血液検査を行い、家族の病歴についても尋ねる。ほとんどの場合、治療は可能だが、数か月かかる。症状があるときは、早めに病院を受診したほうがよい。",
+    "th": "โรคนี้มักเริ่มอย่างช้าๆ จึงมักตรวจพบช้า ผู้ป่วยจำนวนมากบ่นว่าอ่อนเพลียและปวดขาก่อน แพทย์จะตรวจเลือดและถามประวัติโรคในครอบครัว ส่วนใหญ่รักษาได้ แต่ต้องใช้เวลาหลายเดือน ควรไปพบแพทย์เมื่อมีอาการ และไม่ควรซื้อยากินเอง เพราะอาจทำให้อาการแย่ลง บางคนไม่มีอาการเลย และทราบเมื่อตรวจสุขภาพ เท่านั้น",
+    "ko": "이 병은 대개 천천히 시작되기 때문에 늦게 발견되는 일이 많다. 많은 환자가 처음에는 피로와 다리 통증을 호소한다. 의사는 혈액 검사를 하고 가족의 병력을 묻는다. 대부분의 경우 치료가 가능하지만 몇 달이 걸린다.",
+}
+
+
+@pytest.mark.parametrize("lang", PROSE_OF)
+def test_spam_prose_of_many_languages_is_no_case(lang):
+    assert not spam.verdict(PROSE_OF[lang])[1] and not spam.verdict("\n\n".join([PROSE_OF[lang], PROSE_OF[lang][::2].title()]))[1]
+
+
+def test_spam_stuffing_in_other_scripts():
+    for words_ in ("купить таблетки дёшево", "特价 药片 购买", "खरीदें सस्ती गोलियाँ", "ซื้อยา ราคาถูก"):
+        assert spam.verdict((words_ + " ") * 20)[1]
+    assert spam.verdict((PROSE_OF["de"].split(".")[0].lower() + " ") * 8)[1]
+
+
 # duplicates against history --------------------------------------------------------------------------------------------
 
 
@@ -186,12 +215,13 @@ def test_boilerplate_page_and_odd_rows(spark):
     assert boilerplate.find_boilerplate(df.limit(0)).count() == 0
 
 
-def test_min_cut_is_least_of_all_labellings():
+@pytest.mark.parametrize("reach", [1, 2, 7])
+def test_min_cut_is_least_of_all_labellings(reach):
     rng = np.random.default_rng(4)
     for _ in range(60):
-        n = 7
+        n = 8
         u = rng.normal(size=n) * 2
-        left, right = (np.array(x) for x in zip(*[(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.4] or [(0, 1)]))
+        left, right = (np.array(x) for x in zip(*[(i, j) for i in range(n) for j in range(i + 1, min(n, i + 1 + reach)) if rng.random() < 0.6] or [(0, 1)]))
         w = rng.random(len(left)) * 2
 
         def cost(side, u=u, left=left, right=right, w=w):
@@ -199,6 +229,21 @@ def test_min_cut_is_least_of_all_labellings():
 
         best = min(cost(np.array([m >> i & 1 for i in range(n)], dtype=bool)) for m in range(1 << n))
         assert cost(boilerplate.min_cut(u, left, right, w)) == pytest.approx(best)
+        side = np.zeros(n, dtype=np.int8)
+        boilerplate._flow_sides(u, left, right, w, side)
+        assert cost(np.where(side == 0, u > 0, side > 0)) == pytest.approx(best)
+
+
+def test_min_cut_of_a_very_long_page_is_linear():
+    rng = np.random.default_rng(5)
+    took = {}
+    for n in (10_000, 100_000):
+        i = np.arange(n - 2)
+        u, left, right = rng.normal(size=n), np.concatenate((i, i)), np.concatenate((i + 1, i + 2))
+        begun = time.perf_counter()
+        boilerplate.min_cut(u, left, right, rng.random(len(left)) * 2)
+        took[n] = time.perf_counter() - begun
+    assert took[100_000] < 30 * took[10_000] + 1
 
 
 def test_line_model_on_lines_it_has_not_seen():
