@@ -44,6 +44,7 @@ GAIN_WEIGHT, ENDS_WEIGHT, MOST_ENDS = 4.0, 10.0, 0.05
 LIMIT = 1.06
 MOST_PUNCTUATION = 0.024
 EXTREME = 0.55
+LEAST_SIZE = 0.3
 EXTREME_SCRAMBLED = 0.5
 #: Function words by language (fixed values); they only choose the curve and the primer.
 FUNCTION_WORDS = {
@@ -114,14 +115,15 @@ def _size(raw: bytes, primer: bytes = b"") -> int:
 
 
 def redundancy(raw: bytes, lang: str) -> tuple[float, float]:
-    """Compressed size over that of prose, and the share of it that the language's primer saves, for all blocks together."""
+    """Compressed size over that of prose, and the share of it that the language's primer saves, for all blocks together.
+    A share of next to nothing says nothing, so it is taken of at least LEAST_SIZE of prose."""
     got = want = primed = 0.0
     expected, primer = _expected(lang), _PRIMED[lang]
     for part in blocks(raw):
         got += _size(part)
         primed += _size(part, primer)
         want += expected[len(part)]
-    return (got / want, 1 - primed / got) if want else (1.0, 0.0)
+    return (got / want, (got - primed) / max(got, LEAST_SIZE * want)) if want else (1.0, 0.0)
 
 
 def scrambled_ratio(text: str) -> float:
