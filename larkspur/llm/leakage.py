@@ -1,12 +1,13 @@
 """Evaluation passages that stand in training text, by suffix arrays of the training text.
 
 Each Arrow batch of documents is one shard. Words that occur in no passage cannot be part of a match, so a shard keeps
-only runs of at least ``least`` words of the passages' vocabulary. Over those runs it sorts its suffixes by prefix
-doubling to the depth of ``least`` words and binary-searches every passage suffix; hits are extended to the longest
-verbatim match, whose place in the text is reported. No document is shuffled.
+only runs of at least ``least`` words of the passages' vocabulary. Its suffix array sorts those runs' suffixes to the depth
+of ``least`` words; every passage suffix, made ready once for all shards, is binary-searched in it, and hits are extended to the
+longest verbatim match, whose place in the text is reported. No document is shuffled.
 
-The passages are broadcast with the task only after their total words have been checked against ``MAX_TEST_WORDS``; a
-larger set is worked off in blocks of that size, each over all documents.
+The passages are sent out in blocks of at most ``MAX_TEST_WORDS`` words, one after the other, each block over all
+documents; no more than one block is held by the driver while it is prepared. A passage longer than a block is cut into
+parts that overlap by ``least - 1`` words; its longest match is then that within a part.
 
 Defined results: null, blank and too short texts or passages have no matches. Items with equal passages are all
 reported. Repeated documents are each reported. Documents with a null key are kept under null.
@@ -14,7 +15,7 @@ reported. Repeated documents are each reported. Documents with a null key are ke
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +34,25 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int, str]], least: int) -> None:
+    def __init__(self, items: list[tuple[int, int, list[str]]], least: int) -> None:
         self.least, self.vocabulary = least, {}
         stream: list[int] = []
-        owner: list[int] = []
-        for n, (_, passage) in enumerate(items):
-            ws = words(passage)
+        for _, _, ws in items:
             stream += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws] + [0]
-            owner += [n] * (len(ws) + 1)
-        self.items = np.array([i for i, _ in items], dtype=np.int64)
-        self.stream, self.owner = np.array(stream, dtype=np.int64), np.array(owner, dtype=np.int64)
-        if len(self.stream) >= least:
-            whole = np.lib.stride_tricks.sliding_window_view(self.stream, least)
-            self.starts = np.nonzero((whole != 0).all(axis=1))[0]
-        else:
-            self.starts = np.empty(0, dtype=np.int64)
+        sizes = np.array([len(ws) + 1 for _, _, ws in items], dtype=np.int64)
+        self.items, self.skipped = np.array([i for i, _, _ in items], dtype=np.int64), np.array([s for _, s, _ in items], dtype=np.int64)
+        self.stream, self.owner, self.first = np.array(stream, dtype=np.uint32), np.repeat(np.arange(len(items)), sizes), np.concatenate(([0], np.cumsum(sizes)))
+        self.starts, self.keys = _suffixes(self.stream, least)
+
+
+def _suffixes(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places from which ``depth`` words follow without a break, and those words as byte strings that sort as the words do."""
+    if len(stream) < depth:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=f"S{4 * depth}")
+    whole = np.lib.stride_tricks.sliding_window_view(stream != 0, depth).all(axis=1)
+    at = np.nonzero(whole)[0]
+    words_ = np.lib.stride_tricks.sliding_window_view(stream, depth)[at].astype(">u4")
+    return at, np.ascontiguousarray(words_).view(f"S{4 * depth}").reshape(-1)
 
 
 def _runs(ids: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -58,18 +63,17 @@ def _runs(ids: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(a[keep], b[keep]))
 
 
-def _ranks(stream: np.ndarray, depth: int) -> np.ndarray:
-    """Prefix doubling: the rank of each suffix by its first ``depth`` words. Breaks are 0 and sort first."""
-    rank, reach = stream.astype(np.int64), 1
-    while reach < depth:
-        step = min(reach, depth - reach)
-        shifted = np.zeros_like(rank)
-        shifted[: len(rank) - step] = rank[step:]
-        both = rank * (int(shifted.max()) + 1) + shifted
-        _, rank = np.unique(both, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
-        reach += step
-    return rank
+def _extend(train: np.ndarray, test: np.ndarray, p: np.ndarray, q: np.ndarray, m: int) -> np.ndarray:
+    """How many words agree from each p and q on, ``m`` of which are known to; all pairs a word at a time."""
+    length, open_ = np.full(len(p), m, dtype=np.int64), np.arange(len(p))
+    while len(open_):
+        a, b = p[open_] + length[open_], q[open_] + length[open_]
+        inside = (a < len(train)) & (b < len(test))
+        open_, a, b = open_[inside], a[inside], b[inside]
+        same = (train[a] == test[b]) & (train[a] != 0)
+        open_ = open_[same]
+        length[open_] += 1
+    return length
 
 
 def find_in_shard(texts: list[str | None], test: TestSuffixes) -> list[tuple[int, int, int, int, int]]:
@@ -79,54 +83,52 @@ def find_in_shard(texts: list[str | None], test: TestSuffixes) -> list[tuple[int
     for r, t in enumerate(texts):
         if not t or len(t) < 2 * least - 1:
             continue
-        ids = np.fromiter((vocabulary.get(w, 0) for w in words(t)), dtype=np.int64)
+        ids = np.fromiter((vocabulary.get(w, 0) for w in words(t)), dtype=np.uint32)
         for a, b in _runs(ids, least):
-            parts += [ids[a:b], [0]]
-            rows += [r] * (b - a + 1)
-            places += [*range(a, b + 1)]
+            parts += [ids[a:b], np.zeros(1, dtype=np.uint32)]
+            rows.append(np.full(b - a + 1, r))
+            places.append(np.arange(a, b + 1))
     if not parts or not len(test.starts):
         return []
-    train = np.concatenate(parts).astype(np.int64)
-    row, place = np.array(rows), np.array(places)
-    # training and test suffixes are ranked together, so that equal ranks mean equal first words
-    n = len(train)
-    joint = np.concatenate((train, test.stream, np.zeros(least, dtype=np.int64)))
-    rank = _ranks(joint, least)
-    whole = np.concatenate((train != 0, np.zeros(least, dtype=bool)))
-    inside = np.lib.stride_tricks.sliding_window_view(whole, least)[:n].all(axis=1)
-    places_in = np.nonzero(inside)[0]
-    if not len(places_in):
-        return []
-    order = places_in[np.argsort(rank[places_in], kind="stable")]  # the shard's suffix array
-    sorted_ranks = rank[order]
-    wanted = rank[n + test.starts]
-    lo, hi = np.searchsorted(sorted_ranks, wanted, "left"), np.searchsorted(sorted_ranks, wanted, "right")
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    train, row, place = np.concatenate(parts), np.concatenate(rows), np.concatenate(places)
+    at, keys = _suffixes(train, least)
+    order = np.argsort(keys, kind="stable")  # the shard's suffix array
+    array, sorted_keys = at[order], keys[order]
+    lo, hi = np.searchsorted(sorted_keys, test.keys, "left"), np.searchsorted(sorted_keys, test.keys, "right")
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
     for k in np.nonzero(hi > lo)[0]:
         q = int(test.starts[k])
+        p = array[lo[k] : hi[k]]
+        if q and test.stream[q - 1]:
+            # what agrees a word earlier too is part of a longer match that starts there
+            p = p[(p == 0) | (train[p - 1] != test.stream[q - 1])]
+        if not len(p):
+            continue
+        length = _extend(train, test.stream, p, np.full(len(p), q), least)
         item = int(test.owner[q])
-        for p in order[lo[k] : hi[k]]:
-            p = int(p)
-            if q and p and train[p - 1] == test.stream[q - 1] != 0:
-                continue  # part of a longer match that starts a word earlier
-            m = least
-            while p + m < n and q + m < len(test.stream) and train[p + m] == test.stream[q + m] != 0:
-                m += 1
-            pair = (int(row[p]), item)
-            if pair not in best or m > best[pair][2]:
-                best[pair] = (int(place[p]), q - int(np.searchsorted(test.owner, item)), m)
-    return [(r, i, *v) for (r, i), v in best.items()]
-
-
-def _blocks(items: list[tuple[int, str]], most: int) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
+        skip = int(test.skipped[item]) + q - int(test.first[item])
+        best = np.lexsort((p, -length, row[p]))
+        best = best[np.diff(row[p][best], prepend=-1) != 0]
+        for r, w, m in zip(row[p][best].tolist(), place[p][best].tolist(), length[best].tolist()):
+            if (r, item) not in out or m > out[r, item][2]:
+                out[r, item] = (w, skip, m)
+    return [(r, i, *v) for (r, i), v in out.items()]
+
+
+def _blocks(items: Iterable[tuple[int, str]], most: int, least: int) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """(item, words before, words) gathered up to ``most`` words."""
+    block: list[tuple[int, int, list[str]]] = []
+    size = 0
     for i, p in items:
-        n = len(p) // 2 + 1
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((i, p))
-        size += n
+        ws = words(p)
+        step = max(1, most - least + 1)
+        for at in range(0, max(1, len(ws) - least + 1), step):
+            part = ws[at : at + most]
+            if block and size + len(part) > most:
+                yield block
+                block, size = [], 0
+            block.append((i, at, part))
+            size += len(part)
     if block:
         yield block
 
@@ -137,7 +139,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     schema = f"`{key}` {kind}, `{item}` long, text_word long, passage_word long, n_words long"
     rows = documents.select(key, text)
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
+    def search(block: list[tuple[int, int, list[str]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +158,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
 
     tests = items.where(F.col(passage).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long"), passage).distinct().orderBy(item, passage)
     out: DataFrame | None = None
-    for block in _blocks([(r[0], r[1]) for r in tests.toLocalIterator()], most):
+    for block in _blocks(((r[0], r[1]) for r in tests.toLocalIterator()), most, least):
         out = search(block) if out is None else out.unionByName(search(block))
     if out is None:
         return spark.createDataFrame([], schema)

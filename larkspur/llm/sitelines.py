@@ -2,10 +2,11 @@
 
 Each content is normalised line by line and cut by content-defined chunking: a rolling hash over the normalised bytes
 marks cut points, and a line's end is always one, as a line is the unit in which cases are reported. A content without
-line ends is cut by the rolling hash alone. Every line is represented by its chunk of least hash, so that equal lines
-have equal representatives. Step one counts the distinct documents of each (source, representative chunk); step two
-counts those of whole lines, but only for lines whose representative reached the limit, which is exact, since a line in
-``least_docs`` documents brings its representative into as many.
+line ends is cut by the rolling hash alone. The distinct documents of each (source, chunk) are counted, and a line is a
+candidate when every one of its chunks reaches the limit. Chunks may come from different lines, so that the candidates'
+whole lines are counted too; that loses none, since a line in ``least_docs`` documents brings all its chunks into as many.
+A line is therefore given out only if two independent 64-bit hashes agree that it is repeated: that of its bytes as a
+whole, and those of its chunks with their lengths.
 
 Counts are made in two steps (distinct (source, chunk, document), then a count), both combined before the shuffle, so
 that a chunk found in a third of all documents is never gathered anywhere. Only 64-bit hashes are shuffled, no text.
@@ -56,14 +57,14 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 class LineChunker:
-    """Representative chunk and key of many normalised lines at once."""
+    """Chunks and whole hashes of many normalised lines at once."""
 
     def __init__(self) -> None:
         self.table = mix(np.arange(1, 257, dtype=np.uint64))
         self.up = self.down = np.empty(0, dtype=np.uint64)
 
-    def __call__(self, lines: list[str], cut_lines: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of the whole line, least chunk hash of the line, chunks in the line)."""
+    def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each whole line, hashes of all chunks, number of chunks in each line)."""
         raw = [x.encode() for x in lines]
         lens = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -89,9 +90,8 @@ class LineChunker:
             chunk = mix((total[bounds] - total[first]) * self.down[first] + (bounds - first).astype(np.uint64))
             whole = mix((total[ends] - total[starts]) * self.down[starts] + lens.astype(np.uint64) * np.uint64(3))
             head = np.searchsorted(first, starts)
-            least = np.minimum.reduceat(chunk, head) if len(head) else chunk
             count = np.diff(np.concatenate((head, [len(first)])))
-        return whole, least, count
+        return whole, chunk, count
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -99,7 +99,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def line_hashes(rows: DataFrame, kind: str) -> DataFrame:
-    """From (_key, _source, _doc, _text): the same without the text, and arrays line_no, rep and line of each countable line."""
+    """From (_key, _source, _doc, _text): the same without the text, and arrays line_no, line (hash) and chunks (hashes) of
+    each countable line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = LineChunker()
@@ -124,12 +125,13 @@ def line_hashes(rows: DataFrame, kind: str) -> DataFrame:
                             lines.append(norm)
                             numbers.append(no)
                     sizes.append(len(lines) - before)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                whole, least, _ = chunker(lines) if lines else (np.empty(0, np.uint64),) * 3
-                cols = [pa.ListArray.from_arrays(offsets, c) for c in (pa.array(numbers, pa.int32()), _signed(least), _signed(whole))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *cols], names=["_key", "_source", "_doc", "line_no", "rep", "line"])
+                ends = lambda counts: pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+                whole, chunk, count = chunker(lines) if lines else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))
+                each = pa.ListArray.from_arrays(ends(count), _signed(chunk))
+                cols = [pa.ListArray.from_arrays(ends(sizes), c) for c in (pa.array(numbers, pa.int32()), _signed(whole), each)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *cols], names=["_key", "_source", "_doc", "line_no", "line", "chunks"])
 
-    return rows.mapInArrow(run, f"_key {kind}, _source long, _doc long, line_no array<int>, rep array<long>, line array<long>")
+    return rows.mapInArrow(run, f"_key {kind}, _source long, _doc long, line_no array<int>, line array<long>, chunks array<array<long>>")
 
 
 def _frequent(rows: DataFrame, key: str, least_docs: int) -> DataFrame:
@@ -143,13 +145,13 @@ def find_repeated_lines(df: DataFrame, key: str = "hit_id", text: str = "content
     src = normalise_source(F.col(source))
     rows = df.where(src.isNotNull() & F.col(text).isNotNull() & F.col(doc).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(src).alias("_source"), F.xxhash64(doc).alias("_doc"), F.col(text).alias("_text"))
     hashed = materialize(line_hashes(rows, kind), "lines").where(F.size("line_no") > 0)
-    # equal pages under one document id bring nothing new to the counts
-    pages = hashed.select("_source", "_doc", F.arrays_zip("rep", "line").alias("_l"))
-    each = pages.select("_source", "_doc", F.inline("_l"))
-    reps = _frequent(each.select("_source", "_doc", "rep"), "rep", least_docs)
-    candidates = materialize(
-        hashed.select("_key", "_source", "_doc", F.inline(F.arrays_zip("line_no", "rep", "line"))).join(reps, ["_source", "rep"], "left_semi").select("_key", "_source", "_doc", "line_no", "line"), "candidates"
-    )
+    pages = hashed.select("_source", "_doc", F.explode(F.flatten("chunks")).alias("chunk"))
+    chunks = materialize(_frequent(pages, "chunk", least_docs), "chunks")
+    # a distinct line of a source stands or falls by its distinct chunks
+    parts = hashed.select("_source", F.inline(F.arrays_zip("line", "chunks"))).select("_source", "line", F.array_distinct("chunks").alias("c"))
+    parts = parts.select("_source", "line", F.size("c").alias("n"), F.explode("c").alias("chunk")).distinct()
+    whole = parts.join(chunks, ["_source", "chunk"], "left_semi").groupBy("_source", "line", "n").agg(F.count("*").alias("held")).where("held = n").select("_source", "line")
+    candidates = materialize(hashed.select("_key", "_source", "_doc", F.inline(F.arrays_zip("line_no", "line"))).join(whole, ["_source", "line"], "left_semi"), "candidates")
     lines = _frequent(candidates.select("_source", "_doc", "line"), "line", least_docs)
     return candidates.join(lines, ["_source", "line"], "left_semi").select(F.col("_key").alias(key), "line_no")
 
@@ -203,18 +205,24 @@ def cut_repeated_chunks(df: DataFrame, key: str = "hit_id", text: str = "content
         import xxhash
 
         for b in batches:
-            out = []
+            starts, hashes, sizes = [], [], [0]
             for t in b.column(4).to_pylist():
-                got = []
-                for no, (a, e) in enumerate(chunk_spans(t)):
+                spans = chunk_spans(t)
+                starts += [a + 1 for a, _ in spans]
+                for a, e in spans:
                     norm = normalise_line(t[a:e])
-                    got.append({"no": no, "h": xxhash.xxh3_64_intdigest(norm.encode()) - (1 << 63) if len(norm) >= LEAST_CHARS else None, "t": t[a:e]})
-                out.append(got)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.struct([("no", pa.int32()), ("h", pa.int64()), ("t", pa.string())])))], names=["_key", "_source", "_doc", "_has", "_chunks"])
-
-    cut = materialize(rows.mapInArrow(run, f"_key {kind}, _source long, _doc long, _has boolean, _chunks array<struct<no:int,h:long,t:string>>"), "chunks")
-    each = cut.where("_has").select("_key", "_source", "_doc", F.inline("_chunks")).where("h is not null")
+                    hashes.append(xxhash.xxh3_64_intdigest(norm.encode()) - (1 << 63) if len(norm) >= LEAST_CHARS else None)
+                sizes.append(len(starts))
+            ends = pa.array(sizes, pa.int32())
+            cols = [pa.ListArray.from_arrays(ends, pa.array(starts, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(hashes, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=["_key", "_source", "_doc", "_has", "_text", "_at", "_h"])
+
+    cut = materialize(rows.mapInArrow(run, f"_key {kind}, _source long, _doc long, _has boolean, _text string, _at array<int>, _h array<long>"), "chunks")
+    each = cut.where("_has").select("_key", "_source", "_doc", F.explode("_h").alias("h")).where("h is not null")
     common = _frequent(each.select("_source", "_doc", "h"), "h", least_docs)
-    gone = each.join(common, ["_source", "h"], "left_semi").groupBy(F.col("_key").alias("_k")).agg(F.collect_set("no").alias("_gone"))
-    kept = F.filter("_chunks", lambda c: ~F.array_contains(F.coalesce(F.col("_gone"), F.array().cast("array<int>")), c["no"]))
-    return cut.join(gone, F.col("_key") == F.col("_k"), "left").select(F.col("_key").alias(key), F.array_join(F.transform(kept, lambda c: c["t"]), "").alias("clean_content"))
+    gone = each.join(common, ["_source", "h"], "left_semi").groupBy(F.col("_key").alias("_k")).agg(F.collect_set("h").alias("_gone"))
+    # only keys and hashes meet in the join; the text is cut by its spans
+    stop = lambda i: F.coalesce(F.try_element_at("_at", i + 2), F.length("_text") + 1)
+    piece = lambda a, i: F.when(F.array_contains("_gone", F.get("_h", i)), F.lit("")).otherwise(F.substring(F.col("_text"), a, stop(i) - a))
+    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform("_at", piece), ""))
+    return cut.join(gone, F.col("_key") == F.col("_k"), "left").select(F.col("_key").alias(key), kept.alias("clean_content"))
