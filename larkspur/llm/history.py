@@ -13,8 +13,11 @@ linked earlier row is accepted, and accepted once all of them are repeats. Rows
 as one; within a class only the first two documents, and documents that also occur in another class, can decide
 anything, so no class is ever joined with itself row by row.
 
-The index lies in three tables (documents, bodies, blocks) that grow by appending; a class stands for its body by a
-64-bit hash.
+The index lies in three tables (documents, bodies, blocks). Each append adds a segment to each, parted into shards of
+about ``SHARD_ROWS`` rows by a hash of the key that the table is asked for. A batch reads the shards in which its keys
+fall and no others, so that what a batch of a given size reads does not grow with the history once that has more shards
+than the batch has keys; a batch with more keys than that reads the keys through, 36 a body, but texts only of candidates.
+A class stands for its body by the first 128 bits of its SHA-256.
 
 Defined results: rows with a null body, document id, batch or sequence number are no cases and are not accepted. Bodies of
 fewer than three words only match equal ones. Repeated rows act as one. Other columns are ignored.
@@ -38,7 +41,9 @@ LEAST_LIKENESS = 0.7
 RUN = 3
 BLOCKS, PER_BLOCK, BITS = 36, 5, 128
 MOST_DIFFERENT = 38
-_BODY = "cls long, body string, bits binary, keys array<long>"
+SHARD_ROWS = 1 << 20
+_BODY = "cls binary, body string, bits binary, keys array<long>"
+_TABLES = {"nodes": ("cls", "cls binary, doc string, first struct<b:long,s:long>"), "bodies": ("cls", "cls binary, body string, bits binary"), "blocks": ("key", "key long, cls binary")}
 
 
 def _hash_family() -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +97,9 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        known: dict[int, np.ndarray] = {}
+        known: dict[bytes, np.ndarray] = {}
 
-        def runs(cls: int, body: str) -> np.ndarray:
+        def runs(cls: bytes, body: str) -> np.ndarray:
             got = known.get(cls)
             if got is None:
                 if len(known) > 2000:
@@ -108,13 +113,13 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
             m = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["a", "b"])
 
-    return pairs.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "body_a", "body_b").mapInArrow(run, "a binary, b binary")
 
 
 def rows_of(df: DataFrame, batch: str | Column = "batch_id", seq: str | Column = "arrival_seq", doc: str | Column = "doc_id", body: str | Column = "content.body") -> DataFrame:
     """Rows in the operator's form: cls, doc, at (batch, sequence), body."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    out = df.select(F.xxhash64(col(body)).alias("cls"), col(doc).alias("doc"), F.struct(col(batch).cast("long").alias("b"), col(seq).cast("long").alias("s")).alias("at"), col(body).alias("body"))
+    out = df.select(F.substring(F.unhex(F.sha2(col(body), 256)), 1, 16).alias("cls"), col(doc).alias("doc"), F.struct(col(batch).cast("long").alias("b"), col(seq).cast("long").alias("s")).alias("at"), col(body).alias("body"))
     return out.where("body is not null and doc is not null and at.b is not null and at.s is not null")
 
 
@@ -128,33 +133,49 @@ class History:
 
     spark: SparkSession
     root: str
+    shard_rows: int = SHARD_ROWS
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str | None = None) -> History:
-        return cls(spark, root or scratch_path(spark, "history"))
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    def create(cls, spark: SparkSession, root: str | None = None, shard_rows: int = SHARD_ROWS) -> History:
+        """A history below ``root``, which lasts; without one it lies in the scratch space and goes with the session."""
+        return cls(spark, root or scratch_path(spark, "history"), shard_rows)
+
+    def _segments(self, name: str) -> list[tuple[str, int, set[int]]]:
+        """(path, shards, those that hold anything) of each segment."""
+        conf, path = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        top = path(f"{self.root}/{name}")
+        fs = top.getFileSystem(conf)
+        out = []
+        for seg in fs.listStatus(top) if fs.exists(top) else []:
+            seg = seg.getPath()
+            held = {int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(seg) if x.getPath().getName().startswith("shard=")}
+            out.append((seg.toString(), int(seg.getName().split("-")[1]), held))
+        return sorted(out)
+
+    def lookup(self, name: str, asked: DataFrame) -> DataFrame:
+        """Rows of a table from the shards that the keys of ``asked`` (one column) fall into; a superset of those asked for."""
+        key, schema = _TABLES[name]
+        segments = self._segments(name)
+        if not segments:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    @property
-    def nodes(self) -> DataFrame:
-        return self._table("nodes", "cls long, doc string, first struct<b:long,s:long>")
-
-    @property
-    def bodies(self) -> DataFrame:
-        return self._table("bodies", "cls long, body string, bits binary")
-
-    @property
-    def blocks(self) -> DataFrame:
-        return self._table("blocks", "key long, cls long")
+        h = F.xxhash64(asked.columns[0])
+        sizes = sorted({n for _, n, _ in segments})
+        # as many numbers as there are shards, at most
+        want = asked.agg(*[F.collect_set(F.pmod(h, F.lit(n))).alias(f"s{n}") for n in sizes]).first()
+        paths = []
+        for path, n, held in segments:
+            hit = held & set(want[f"s{n}"])
+            paths += [path] if hit == held else [f"{path}/shard={i}" for i in sorted(hit)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
 
     def _append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        df = materialize(df, name)
+        n = max(1, -(-df.count() // self.shard_rows))
+        number = len(self._segments(name))
+        rows = df.withColumn("shard", F.pmod(F.xxhash64(_TABLES[name][0]), F.lit(n)))
+        rows.repartition(min(n, 10_000), "shard").write.partitionBy("shard").option("compression", "zstd").parquet(f"{self.root}/{name}/{number:06}-{n}")
 
     def start(self, rows: DataFrame) -> None:
         """Take rows into an empty history, all as accepted."""
@@ -163,7 +184,8 @@ class History:
 
     def append(self, nodes: DataFrame, bodies: DataFrame) -> None:
         """Add accepted documents; ``bodies`` (cls, body, bits, keys) may hold classes that are known or not accepted."""
-        fresh = bodies.join(nodes.select("cls").distinct(), "cls", "left_semi").join(self.nodes.select("cls").distinct(), "cls", "left_anti")
+        mine = nodes.select("cls").distinct()
+        fresh = bodies.join(mine, "cls", "left_semi").join(self.lookup("nodes", mine).select("cls"), "cls", "left_anti")
         fresh = materialize(fresh, "fresh")
         self._append(fresh.select(F.explode("keys").alias("key"), "cls"), "blocks")
         self._append(fresh.select("cls", "body", "bits"), "bodies")
@@ -181,11 +203,12 @@ def near_classes(bodies: DataFrame, history: History, least: float = LEAST_LIKEN
     """(a, b): a is a class of the batch, b another class of the batch or of the history, both ways within the batch."""
     mine = bodies.select(F.explode("keys").alias("key"), "cls")
     left, right = mine.withColumnRenamed("cls", "a"), mine.withColumnRenamed("cls", "b")
-    old = history.blocks.select("key", F.col("cls").alias("b"))
+    old = history.lookup("blocks", mine.select("key")).select("key", F.col("cls").alias("b"))
     inside = left.join(right, "key").where("a < b").select("a", "b", F.lit(True).alias("own"))
     across = left.join(old, "key").where("a <> b").select("a", "b", F.lit(False).alias("own"))
-    pairs = inside.unionByName(across).groupBy("a", "b").agg(F.max("own").alias("own"))
-    known = bodies.select("cls", "body", "bits").unionByName(history.bodies.join(bodies.select("cls"), "cls", "left_anti"))
+    pairs = materialize(inside.unionByName(across).groupBy("a", "b").agg(F.max("own").alias("own")), "pairs")
+    others = pairs.where("not own").select(F.col("b").alias("cls")).distinct()
+    known = bodies.select("cls", "body", "bits").unionByName(history.lookup("bodies", others).join(bodies.select("cls"), "cls", "left_anti"))
     bits = known.select("cls", "bits")
     different = F.lit(0)
     for i in (1, 9):
@@ -214,7 +237,8 @@ def check(history: History, rows: DataFrame, least: float = LEAST_LIKENESS) -> C
 
     # what can decide about a row: the first two documents of a class, and documents found in several classes
     order = W.partitionBy("cls").orderBy("first", "doc")
-    old = history.nodes.join(links.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").select("cls", "doc", "first")
+    linked = links.select(F.col("b").alias("cls")).distinct()
+    old = history.lookup("nodes", linked).join(linked, "cls", "left_semi").select("cls", "doc", "first")
     old_anchor = old.withColumn("_r", F.row_number().over(order)).where("_r <= 2").drop("_r")
     first_two = nodes.select("cls", "doc", "first").withColumn("_r", F.row_number().over(order)).where("_r <= 2").drop("_r")
     several = nodes.join(nodes.groupBy("doc").agg(F.count("*").alias("_c")).where("_c > 1").select("doc"), "doc", "left_semi").select("cls", "doc", "first")

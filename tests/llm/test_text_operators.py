@@ -139,6 +139,21 @@ def test_history_batch_by_batch_equals_one_increment(spark):
     assert got == brute(rows)
 
 
+def test_history_reads_no_more_for_a_batch_when_it_has_grown(spark):
+    rng = random.Random(9)
+    body = lambda: " ".join(rng.choice(_NOUN) for _ in range(40))
+    batch, read = prepared(spark, [(1, 1, "new", body())]), {}
+    for n in (100, 1000):
+        past = history.History.create(spark, shard_rows=64)
+        past.start(prepared(spark, [(0, i, f"d{i}", body()) for i in range(n)]))
+        keys = history._sketch(batch.select("cls", "body")).selectExpr("explode(keys) as key")
+        got = past.lookup("blocks", keys)
+        assert history.check(past, batch).accepted.count() == 1
+        read[n] = got.count()
+    # a key reads one shard at most; the larger history has 36 000 rows
+    assert all(0 < r <= 1.25 * history.BLOCKS * 64 for r in read.values())
+
+
 def test_history_empty_tables_and_manifest(spark):
     none = prepared(spark, [])
     past = history.History.create(spark)
