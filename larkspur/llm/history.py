@@ -41,7 +41,8 @@ LEAST_LIKENESS = 0.7
 RUN = 3
 BLOCKS, PER_BLOCK, BITS = 36, 5, 128
 MOST_DIFFERENT = 38
-SHARD_ROWS = 1 << 20
+#: Rows of a shard: a few MB of keys, some ten MB of texts.
+SHARD_ROWS = {"nodes": 1 << 17, "bodies": 1 << 12, "blocks": 1 << 17}
 _BODY = "cls binary, body string, bits binary, keys array<long>"
 _TABLES = {"nodes": ("cls", "cls binary, doc string, first struct<b:long,s:long>"), "bodies": ("cls", "cls binary, body string, bits binary"), "blocks": ("key", "key long, cls binary")}
 
@@ -133,10 +134,10 @@ class History:
 
     spark: SparkSession
     root: str
-    shard_rows: int = SHARD_ROWS
+    shard_rows: int | None = None
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str | None = None, shard_rows: int = SHARD_ROWS) -> History:
+    def create(cls, spark: SparkSession, root: str | None = None, shard_rows: int | None = None) -> History:
         """A history below ``root``, which lasts; without one it lies in the scratch space and goes with the session."""
         return cls(spark, root or scratch_path(spark, "history"), shard_rows)
 
@@ -172,7 +173,7 @@ class History:
 
     def _append(self, df: DataFrame, name: str) -> None:
         df = materialize(df, name)
-        n = max(1, -(-df.count() // self.shard_rows))
+        n = max(1, -(-df.count() // (self.shard_rows or SHARD_ROWS[name])))
         number = len(self._segments(name))
         rows = df.withColumn("shard", F.pmod(F.xxhash64(_TABLES[name][0]), F.lit(n)))
         rows.repartition(min(n, 10_000), "shard").write.partitionBy("shard").option("compression", "zstd").parquet(f"{self.root}/{name}/{number:06}-{n}")
