@@ -10,6 +10,16 @@ CONCEPTS_EN = {
     "DIABETES": ["diabetes", "diabetes mellitus"],
     "HYPOXEMIA": ["hypoxemia", "low oxygen saturation", "low spo2", "hypoxia"],
 }
+# Concept lexicon, Spanish, without accents (fixed values).
+CONCEPTS_ES = {
+    "DISNEA": ["disnea", "dificultad respiratoria", "falta de aire", "ahogo"],
+    "DOLOR_TORACICO": ["dolor toracico", "opresion toracica", "dolor en el pecho", "pecho opresivo"],
+    "FIEBRE": ["fiebre", "temperatura alta", "hipertermia"],
+    "TAQUICARDIA": ["taquicardia", "frecuencia cardiaca elevada", "palpitaciones"],
+    "HIPERTENSION": ["hipertension", "presion arterial alta"],
+    "DIABETES": ["diabetes", "diabetes mellitus"],
+    "HIPOXEMIA": ["hipoxemia", "saturacion baja", "spo2 baja", "saturacion de oxigeno baja"],
+}
 # Aliases and display names for symptom coverage (fixed values).
 COVERAGE_ALIASES = {
     "DYSPNEA": ["shortness of breath", "dyspnea", "difficulty breathing", "breathlessness", "falta de aire", "disnea"],

@@ -109,8 +109,9 @@ def language_guess(toks: str | Column, sample: int = 500) -> Column:
 
 def filter_tokens(toks: str | Column, lang: str | Column, least: int = 2, most: int = 40) -> Column:
     """Tokens of acceptable length that are no stop words of the language."""
-    es = as_column(lang).startswith("es")
-    return F.filter(as_column(toks), lambda t: F.length(t).between(least, most) & ~F.when(es, t.isin(*STOPWORDS_ES)).otherwise(t.isin(*STOPWORDS_EN)))
+    # the language is decided once a row, outside the lambda
+    kept = lambda words: F.filter(as_column(toks), lambda t: F.length(t).between(least, most) & ~t.isin(*words))
+    return F.when(as_column(lang).startswith("es"), kept(STOPWORDS_ES)).otherwise(kept(STOPWORDS_EN))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
@@ -177,3 +178,25 @@ def whole_term(text: str | Column, term: str) -> Column:
 
 def phrase_pattern(phrases: list[str]) -> str:
     return "|".join(re.escape(p) for p in phrases)
+
+
+#: Forms of dates inside a text, as patterns and what they are parsed by (fixed values).
+DATE_FORMS = [
+    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "yyyy-MM-dd HH:mm:ss"),
+    (r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"),
+    (r"\d{4}/\d{2}/\d{2}", "yyyy/MM/dd"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2}, \d{4}", "MMMM d, yyyy"),
+    (r"\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{4}", "d MMMM yyyy"),
+]
+
+
+def normalize_date(c: str | Column) -> Column:
+    """The first date that a text holds, as ``yyyy-MM-ddTHH:mm:ss``; null when there is none or it does not exist."""
+    s = as_column(c)
+    read = []
+    for pattern, form in DATE_FORMS:
+        found = F.regexp_extract(s, pattern, 0)
+        read.append(F.try_to_timestamp(F.when(found != "", found), F.lit(form)))
+    return F.date_format(F.coalesce(*read), "yyyy-MM-dd'T'HH:mm:ss")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,19 @@ def without_overlaps(ner: str | Column) -> Column:
     return F.transform(F.array_sort(F.transform(kept, lambda o: F.struct(o["a"].alias("a"), o["e"].alias("e")))), lambda o: o["e"])
 
 
+def merged_spans(rows: DataFrame, key: str, ner: str, text: str, most_gap: int = 4) -> DataFrame:
+    """(key, label, start_char, end_char, spans): neighbouring spans of one label joined over at most ``most_gap``
+    characters without sentence punctuation. Gaps and islands within a row's entities; keys must be unique."""
+    e = rows.select(key, text, F.inline(F.col(ner)).alias("text_", "label", "a", "b", "score")).drop("text_", "score")
+    w = W.partitionBy(key).orderBy("a", "b", "label")
+    gap, last = F.col("a") - F.lag("b").over(w), F.lag("b").over(w)
+    between = F.substring(F.col(text), last + 1, F.greatest(gap, F.lit(0)))
+    joined = (F.lag("label").over(w) == F.col("label")) & gap.between(0, most_gap) & ~F.coalesce(between, F.lit("")).rlike("[.!?;:]")
+    e = e.select(key, "label", "a", "b", F.when(joined, 0).otherwise(1).alias("fresh"))
+    e = e.withColumn("island", F.sum("fresh").over(W.partitionBy(key).orderBy("a", "b", "label").rowsBetween(W.unboundedPreceding, 0)))
+    return e.groupBy(key, "label", "island").agg(F.min("a").alias("start_char"), F.max("b").alias("end_char"), F.count("*").alias("spans")).drop("island")
+
+
 def merge_adjacent(spans: list[tuple[int, int, str]], text: str, most_gap: int = 4) -> list[tuple[int, int, str]]:
     """Join neighbouring spans of one label when at most ``most_gap`` characters without sentence punctuation part them."""
     out: list[tuple[int, int, str]] = []

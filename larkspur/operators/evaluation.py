@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_match, name_tokens
+from ..functions.text import fold, is_match, name_tokens
 
 
 def name_hits(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -64,3 +64,19 @@ def metrics(hits: DataFrame, relevant: DataFrame, k: int = 10, corpus_size: int
 def macro(per_query: DataFrame, columns: list[str]) -> DataFrame:
     """Averages over all queries, a missing value counting as 0."""
     return per_query.agg(F.count("*").alias("queries"), *[(F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) / F.count("*")).alias(c) for c in columns])
+
+
+def by_mode(hits: DataFrame, relevant: DataFrame, k: int = 10, corpus_size: int | None = None) -> DataFrame:
+    """One row a mode with its queries and the averages of all metrics. The key ``query`` is a struct (mode, query_id), so
+    that every mode is judged over the same queries and one that fails in a mode only lowers that mode."""
+    per = metrics(hits, relevant, k, corpus_size)
+    columns = [c for c in per.columns if c not in ("query", "fallout")]
+    mean = [(F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) / F.count("*")).alias(c) for c in columns]
+    return per.groupBy(F.col("query.mode").alias("mode")).agg(F.count("*").alias("queries"), *mean)
+
+
+def answer_hits(answers: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, names_it): whether an answer holds any of its query's names, both folded. answers: (query_id, answer);
+    names: (query_id, names array, folded)."""
+    a = answers.join(names, "query_id").withColumn("_a", fold("answer"))
+    return a.select("query_id", F.exists("names", lambda n: F.col("_a").contains(n)).alias("names_it"))

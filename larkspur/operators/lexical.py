@@ -25,30 +25,45 @@ def query_terms(queries: DataFrame, query: str, text: str | Column) -> DataFrame
     return q.select("query", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
 
 
-def bm25(post: DataFrame, terms: DataFrame, n_docs: DataFrame, boosts: dict[str, float] | None = None, every_term: bool = False) -> DataFrame:
-    """(query, doc, score): BM25 of each field times its boost, the best field of a document counts.
-
-    ``n_docs`` has (field, n, avg_len). Postings are weighed once, before queries meet them, and lie by document, so that
-    neither sum needs another shuffle while the asked terms are few enough to be sent around (``MAX_TERMS`` rows, counted
-    first); beyond that they are joined by shuffle. With ``every_term`` all terms of a query must stand in one field."""
-    df = post.join(terms.select("term").distinct(), "term", "left_semi")
-    freq = df.groupBy("field", "term").agg(F.count("*").alias("df"))
+def weigh(post: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(term, field, doc, gain): what each posting adds to the score of its field. sizes: (field, n, avg_len)."""
+    freq = post.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighed = df.join(freq, ["field", "term"]).join(F.broadcast(n_docs), "field").select("field", "term", "doc", gain.alias("gain"))
+    return post.join(freq, ["field", "term"]).join(F.broadcast(sizes), "field").select("term", "field", "doc", gain.alias("gain"))
+
+
+def score(weighed: DataFrame, terms: DataFrame, boosts: dict[str, float] | None = None, every_term: bool = False) -> DataFrame:
+    """(query, doc, score): the sum of gains of each field times its boost, the best field of a document counts.
+
+    The terms are sent around while they are few enough (``MAX_TERMS`` rows, counted first) and the postings lie by
+    document, so that neither sum needs another shuffle; beyond that they are joined by shuffle. With ``every_term`` all
+    terms of a query must stand in one field."""
     if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
-        hit = weighed.repartition("doc").join(F.broadcast(terms), "term")
+        asked = weighed.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+        hit = asked.repartition("doc").join(F.broadcast(terms), "term")
     else:
         hit = weighed.join(terms, "term")
-    per_field = hit.groupBy("query", "field", "doc").agg(F.sum("gain").alias("s"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
-    if every_term:
-        per_field = per_field.where("found = n_terms")
     boost = F.lit(1.0)
     for field, value in (boosts or {}).items():
         boost = F.when(F.col("field") == field, F.lit(float(value))).otherwise(boost)
+    if not every_term and boosts and len(boosts) <= 8:
+        # one sum a field, all in one aggregation
+        sums = [F.sum(F.when(F.col("field") == f, F.col("gain"))).alias(f"_s{i}") for i, f in enumerate(boosts)]
+        best = [F.coalesce(F.col(f"_s{i}") * float(v), F.lit(0.0)) for i, v in enumerate(boosts.values())]
+        return hit.where(F.col("field").isin(*boosts)).groupBy("query", "doc").agg(*sums).select("query", "doc", (F.greatest(*best) if len(best) > 1 else best[0]).alias("score"))
+    per_field = hit.groupBy("query", "field", "doc").agg(F.sum("gain").alias("s"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
+    if every_term:
+        per_field = per_field.where("found = n_terms")
     return per_field.groupBy("query", "doc").agg(F.max(F.col("s") * boost).alias("score"))
 
 
+def bm25(post: DataFrame, terms: DataFrame, n_docs: DataFrame, boosts: dict[str, float] | None = None, every_term: bool = False) -> DataFrame:
+    """(query, doc, score) straight from postings that are not stored; n_docs: (field, n, avg_len)."""
+    asked = post.join(terms.select("term").distinct(), "term", "left_semi")
+    return score(weigh(asked, n_docs), terms, boosts, every_term)
+
+
 def field_sizes(post: DataFrame) -> DataFrame:
     """(field, n, avg_len); as many rows as there are fields."""
     return post.select("field", "doc", "len").distinct().groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))

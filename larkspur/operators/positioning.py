@@ -67,16 +67,47 @@ def signal(best: Column, top3: Column, n: Column) -> Column:
     return clamp(0.7 * best + 0.2 * top3 + 0.1 * F.least(F.lit(1.0), F.log(1.0 + n) / math.log(6)))
 
 
-def group_rows(c: DataFrame) -> DataFrame:
-    """Each candidate under the group of its title, or of its document when it has none; one row per group and chunk."""
+def problem_names(ner: str | Column, least: float = 0.5, most: int = 3) -> Column:
+    """Up to ``most`` distinct conditions of a chunk's PROBLEM entities, the best first, as structs (name, display)."""
+    found = F.transform(F.coalesce(as_column(ner), F.array().cast("array<struct<text:string,label:string,start_char:int,end_char:int,score:double>>")), lambda e, i: F.struct((-F.coalesce(e["score"], F.lit(0.0))).alias("s"), i.alias("i"), grouping_name(e["text"]).alias("name"), F.trim(e["text"]).alias("display"), F.upper(e["label"]).alias("label")))
+    good = F.array_sort(F.filter(found, lambda e: (e["label"] == "PROBLEM") & (-e["s"] >= least) & (e["display"] != "") & (e["name"] != "")))
+    names = F.transform(good, lambda e: e["name"])
+    return F.slice(F.transform(F.filter(good, lambda e, i: F.array_position(names, e["name"]) == i + 1), lambda e: F.struct(e["name"].alias("name"), e["display"].alias("display"))), 1, most)
+
+
+def group_rows(c: DataFrame, ner: str | None = None) -> DataFrame:
+    """Each candidate under the groups of its conditions, or, without any, under that of its title or its document; one
+    row per group and chunk. ``ner``: the column of the chunk's entities."""
+    words = lambda x: F.trim(F.regexp_replace(x, r"[-_]+", " "))
+    some = lambda x: F.when(F.trim(x) != "", F.trim(x))
+    path = F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
+    slug = words(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[A-Za-z0-9]+$", ""))
     title = grouping_name("title")
-    shown = F.coalesce(F.when(F.trim("title") != "", F.trim("title")), F.when(F.trim("section_heading") != "", F.trim("section_heading")), F.col("doc_id"))
-    key = F.when(title != "", F.concat(F.lit("title:"), title)).otherwise(F.concat(F.lit("doc:"), F.col("doc_id")))
-    rows = c.withColumns({"group_key": key, "disease": F.when(title != "", title).otherwise(grouping_name(shown)), "display": shown})
+    shown = F.coalesce(some(F.col("title")), some(F.col("section_heading")), some(slug), some(words(F.col("doc_id"))), F.lit("unknown condition"))
+    key = F.when(title != "", F.concat(F.lit("__doc_title__"), title)).otherwise(F.concat(F.lit("__doc_id__"), F.col("doc_id")))
+    alone = F.struct(key.alias("group_key"), F.when(title != "", title).otherwise(grouping_name(shown)).alias("disease"), shown.alias("display"))
+    names = problem_names(ner) if ner else F.array().cast("array<struct<name:string,display:string>>")
+    groups = F.transform(names, lambda n: F.struct(n["name"].alias("group_key"), n["name"].alias("disease"), n["display"].alias("display")))
+    rows = c.withColumn("_g", F.explode(F.when(F.size(groups) > 0, groups).otherwise(F.array(alone)))).select(*c.columns, "_g.*")
     first = W.partitionBy("query_id", "group_key", "chunk_id").orderBy("position")
     return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
+def explanation() -> Column:
+    """What is said about a scored group, from its columns; never empty."""
+    ce, auth = F.col("cross_encoder"), F.col("authority")
+    says = F.array_compact(
+        F.array(
+            F.when(ce >= 0.70, "High semantic relevance between the query and the retrieved evidence.").when(ce >= 0.45, "Moderate semantic relevance to the user's query."),
+            F.when(F.size("matched") > 0, F.concat(F.lit("Matches symptoms or concepts from the query: "), F.array_join(F.slice("matched", 1, 4), ", "), F.lit("."))),
+            F.when((auth >= 0.85) & (F.size("sources") > 0), F.concat(F.lit("Includes evidence from trusted clinical sources: "), F.array_join(F.slice("sources", 1, 3), ", "), F.lit("."))),
+            F.when(F.col("evidences") >= 3, "Has several retrieved evidence chunks associated with this clinical condition."),
+            F.when(F.coalesce(F.col("mmr"), F.lit(0.0)) != 0, "Selected by balancing relevance and diversity against other results."),
+        )
+    )
+    return F.when(F.size(says) > 0, says).otherwise(F.array(F.lit("Informative result retrieved to support the differential analysis.")))
+
+
 def score_groups(rows: DataFrame, queries: DataFrame, reference: str = "2024-06-01T00:00:00Z", weights: dict[str, float] | None = None) -> DataFrame:
     """(query_id, group_key, disease, display, component scores, relevance, evidences, sources, concepts).
 
@@ -86,7 +117,8 @@ def score_groups(rows: DataFrame, queries: DataFrame, reference: str = "2024-06-
     g = ["query_id", "group_key"]
     rows = rows.withColumns({"src": source_of(F.coalesce(F.when(F.col("source_domain") != "", F.col("source_domain")), F.col("url"))), "auth": authority("source_domain", "url"), "fresh": freshness(["published_at", "fetched_at"], reference)})
     order = lambda s: W.partitionBy(*g).orderBy(F.col(s).desc(), F.col("position"))
-    rows = rows.withColumns({"rc": F.row_number().over(order("ce")), "rh": F.row_number().over(order("hybrid"))})
+    # a chunk's concepts are found before its text is left behind: only the texts of the first three evidences are gathered
+    rows = rows.withColumns({"rc": F.row_number().over(order("ce")), "rh": F.row_number().over(order("hybrid")), "_e": F.row_number().over(W.partitionBy(*g).orderBy("position")), "_held": concepts.by_alias("text")})
     top = lambda s, r: F.avg(F.when(F.col(r) <= 3, F.col(s)))
     stats = rows.groupBy(*g).agg(
         F.min(F.struct("position", "disease", "display")).alias("_f"),
@@ -98,11 +130,12 @@ def score_groups(rows: DataFrame, queries: DataFrame, reference: str = "2024-06-
         F.max("auth").alias("_a"),
         F.array_sort(F.collect_set(F.when(F.col("src") != "", F.col("src")))).alias("sources"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("concept_ids")))).alias("concepts"),
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"])).alias("_text"),
+        F.array_distinct(F.flatten(F.collect_list("_held"))).alias("_held"),
+        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.col("_e") <= 3, F.struct("position", "text")))), lambda x: x["text"])).alias("_text"),
     )
     per_source = rows.where("src <> ''").groupBy(*g, "src").agg(F.max("auth").alias("a")).groupBy(*g).agg(F.avg("a").alias("_avg"), F.max("a").alias("_max"))
     stats = stats.join(per_source, g, "left").join(queries.select("query_id", concepts.of_query("query").alias("_asked")), "query_id", "left")
-    held = F.array_union("concepts", concepts.by_alias("_text"))
+    held = F.array_union("concepts", "_held")
     asked = F.coalesce(F.size("_asked"), F.lit(0))
     matched = F.array_intersect("_asked", held)
     parts = {

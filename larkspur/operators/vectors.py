@@ -27,8 +27,9 @@ def searched(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.count_if(F.col("id").isNotNull() & (squares > 0) & (squares < float("inf"))).alias("corpus_size"))
 
 
-def top_similar(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """(query, item, score, rank): the k items of greatest cosine for each query, itself left out.
+def top_similar(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, same_ids: bool = True) -> DataFrame:
+    """(query, item, score, rank): the k items of greatest cosine for each query, itself left out unless the
+    ids are of two kinds (``same_ids`` false). Cosines are compared at six decimals, ties go to the smaller id.
 
     queries and vectors: (id, embedding). The queries are a stated set, worked off in blocks of ``QUERY_BLOCK`` which
     are sent to all vectors; each task keeps k per query, so little is shuffled. Null, empty and zero vectors take no part."""
@@ -59,10 +60,13 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int, least: float | N
                     sims = q @ (x[keep] / norm[keep, None]).T
                     own = {ids[at[j]]: c for c, j in enumerate(keep)}
                     for r, name in enumerate(names):
-                        row = sims[r]
-                        c = own.get(name)
-                        order = np.argpartition(-row, min(k, len(row) - 1))[: k + 1] if len(row) > k + 1 else np.arange(len(row))
-                        order = np.array([o for o in order if o != c], dtype=np.int64)
+                        row = np.floor(sims[r] * 1000000 + 0.5) / 1000000.0
+                        if same_ids and (c := own.get(name)) is not None:
+                            row[c] = -2.0
+                        least_kept = max(np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -1.5, -1.5 if least is None else least)
+                        order = np.nonzero(row >= least_kept)[0]
+                        if len(order) > k:
+                            order = np.array(sorted(order.tolist(), key=lambda o: (-row[o], ids[at[keep[o]]]))[:k])
                         if len(order):
                             yield pa.RecordBatch.from_arrays([pa.array([name] * len(order)), pa.array([ids[at[keep[o]]] for o in order]), pa.array(row[order])], names=["query", "item", "score"])
 

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.lexicons import ACRONYMS
 from ..operators import context, diseases, entities, positioning, sufficiency
-from ..runtime import table
+from ..runtime import materialize, table
 from .registry import query
 from .text_queries import SOURCE_SQL, r6
 
@@ -64,10 +65,31 @@ def m08(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    return positioning.group_rows(positioning.normalise_scores(_candidates(spark, d)))
+    """Candidates in their groups; a chunk's entities are those of its first hit."""
+    ner = table(spark, d, "search_hits").where("chunk_id is not null").groupBy("chunk_id").agg(F.min_by("ner_entities", "hit_id").alias("ner"))
+    return positioning.group_rows(positioning.normalise_scores(_candidates(spark, d)).join(ner, "chunk_id", "left"), "ner")
 
 
-@query("m03_groups")
+def _group_name_sql(x: str) -> str:
+    n = f"regexp_replace(lower(trim(coalesce({x}, ''), ' ')), '[_\-]+', ' ', 'g')"
+    n = f"regexp_replace(regexp_replace({n}, '^\d+\s+', ''), '\s+', ' ', 'g')"
+    n = f"regexp_replace(regexp_replace({n}, '\s+(?:symptoms?|signs?|disease|disorder|syndrome)\s*$', ''), '^[ .,:;]+|[ .,:;]+$', '', 'g')"
+    return f"coalesce(map_extract_value(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in ACRONYMS.items())}}}, {n}), {n})"
+
+
+_SLUG = "trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '\.[A-Za-z0-9]+$', ''), '[-_]+', ' ', 'g'), ' ')"
+
+
+@query(
+    "m03_groups",
+    f"""WITH {CANDIDATES_SQL}, ner AS (SELECT chunk_id, arg_min(ner_entities, hit_id) AS ner FROM search_hits WHERE chunk_id IS NOT NULL GROUP BY chunk_id), c AS (SELECT cand.*, ner FROM cand LEFT JOIN ner USING (chunk_id)),
+    e AS (SELECT query_id, chunk_id, name, trim(u.text, ' ') AS display, u.score AS score, i FROM (SELECT *, {_group_name_sql('u.text')} AS name FROM (SELECT query_id, chunk_id, ner[i] AS u, i FROM (SELECT query_id, chunk_id, ner, unnest(range(1, len(ner) + 1)) AS i FROM c))) WHERE upper(u.label) = 'PROBLEM' AND coalesce(u.score, 0) >= 0.5 AND trim(u.text, ' ') <> '' AND name <> ''),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, i) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id, name ORDER BY score DESC, i) AS k FROM e) WHERE k = 1) WHERE r <= 3),
+    t AS (SELECT *, {_group_name_sql('title')} AS tk, coalesce(nullif(trim(title, ' '), ''), nullif(trim(section_heading, ' '), ''), nullif({_SLUG}, ''), nullif(trim(regexp_replace(doc_id, '[-_]+', ' ', 'g'), ' '), ''), 'unknown condition') AS shown FROM c),
+    g AS (SELECT c.query_id, f.name AS group_key, f.display, c.chunk_id, c.position FROM f JOIN c USING (query_id, chunk_id) UNION ALL
+      SELECT query_id, CASE WHEN tk <> '' THEN '__doc_title__' || tk ELSE '__doc_id__' || doc_id END, shown, chunk_id, position FROM t WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.query_id = t.query_id AND f.chunk_id = t.chunk_id))
+    SELECT query_id, group_key, arg_min(display, position) AS display, count(DISTINCT chunk_id) AS evidences FROM g GROUP BY query_id, group_key""",
+)
 def m03(spark: SparkSession, d: str) -> DataFrame:
     g = _grouped(spark, d).groupBy("query_id", "group_key").agg(F.min(F.struct("position", "display")).alias("f"), F.count("*").alias("evidences"))
     return g.select("query_id", "group_key", F.col("f.display").alias("display"), "evidences")
@@ -130,9 +152,10 @@ def m07(spark: SparkSession, d: str) -> DataFrame:
 @query("m10_positioned")
 def m10(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain: normalise, group, score, diversify, choose evidence."""
-    scored = _scored(spark, d)
+    rows = materialize(_grouped(spark, d), "grouped")
+    scored = materialize(positioning.score_groups(rows, table(spark, d, "query_log").select("query_id", "query")), "scored")
     best = positioning.diversify(scored)
-    proof = positioning.select_evidence(_grouped(spark, d)).groupBy("query_id", "group_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("evidence"))
+    proof = positioning.select_evidence(rows).groupBy("query_id", "group_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("evidence"))
     return best.join(scored.select("query_id", "group_key", "display", positioning.label().alias("label")), ["query_id", "group_key"]).join(proof, ["query_id", "group_key"], "left")
 
 
@@ -169,26 +192,25 @@ def g17(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "g18_merged_spans",
-    """WITH e AS (SELECT hit_id, u.label AS label, u.start_char AS a, u.end_char AS b FROM (SELECT hit_id, unnest(ner_entities) AS u FROM search_hits)),
-    f AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY hit_id, label ORDER BY a, b) BETWEEN 0 AND 40 THEN 0 ELSE 1 END AS fresh FROM e), g AS (SELECT *, sum(fresh) OVER (PARTITION BY hit_id, label ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM f)
+    """WITH e AS (SELECT hit_id, content, u.label AS label, u.start_char AS a, u.end_char AS b FROM (SELECT hit_id, content, unnest(ner_entities) AS u FROM search_hits)),
+    l AS (SELECT *, lag(b) OVER w AS pb, lag(label) OVER w AS pl FROM e WINDOW w AS (PARTITION BY hit_id ORDER BY a, b, label)),
+    f AS (SELECT *, CASE WHEN pl = label AND a - pb BETWEEN 0 AND 4 AND NOT regexp_matches(coalesce(substr(content, pb + 1, a - pb), ''), '[.!?;:]') THEN 0 ELSE 1 END AS fresh FROM l),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY hit_id ORDER BY a, b, label ROWS UNBOUNDED PRECEDING) AS island FROM f)
     SELECT hit_id, label, min(a) AS start_char, max(b) AS end_char, count(*) AS spans FROM g GROUP BY hit_id, label, island""",
 )
 def g18(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps and islands: spans of one label with at most 40 characters between them."""
-    e = table(spark, d, "search_hits").select("hit_id", F.inline("ner_entities")).select("hit_id", "label", F.col("start_char").alias("a"), F.col("end_char").alias("b"))
-    w = W.partitionBy("hit_id", "label").orderBy("a", "b")
-    e = e.withColumn("fresh", F.when((F.col("a") - F.lag("b").over(w)).between(0, 40), 0).otherwise(1)).withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return e.groupBy("hit_id", "label", "island").agg(F.min("a").alias("start_char"), F.max("b").alias("end_char"), F.count("*").alias("spans")).drop("island")
+    return entities.merged_spans(table(spark, d, "search_hits"), "hit_id", "ner_entities", "content")
 
 
 @query(
     "g09_top_entities_per_chunk",
-    """WITH e AS (SELECT hit_id, lower(trim(u.text, ' ')) AS name, max(u.score) AS score FROM (SELECT hit_id, unnest(ner_entities) AS u FROM search_hits) WHERE u.score >= 0.5 AND trim(u.text, ' ') <> '' GROUP BY hit_id, lower(trim(u.text, ' ')))
-    SELECT hit_id, name, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY score DESC, name) AS r FROM e) WHERE r <= 3""",
+    f"""WITH e AS (SELECT hit_id, i, u.score AS score, {_group_name_sql('u.text')} AS name FROM (SELECT hit_id, ner_entities[i] AS u, i FROM (SELECT hit_id, ner_entities, unnest(range(1, len(ner_entities) + 1)) AS i FROM search_hits)) WHERE upper(u.label) = 'PROBLEM' AND u.score >= 0.5 AND trim(u.text, ' ') <> ''),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hit_id, name ORDER BY score DESC, i) AS n FROM e WHERE name <> '') WHERE n = 1)
+    SELECT hit_id, name, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY score DESC, i) AS r FROM k) WHERE r <= 3""",
 )
 def g09(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "search_hits").select("hit_id", F.inline("ner_entities")).where("score >= 0.5 and trim(text) <> ''").groupBy("hit_id", F.lower(F.trim("text")).alias("name")).agg(F.max("score").alias("score"))
-    return e.withColumn("rank", F.row_number().over(W.partitionBy("hit_id").orderBy(F.col("score").desc(), "name"))).where("rank <= 3")
+    names = positioning.problem_names("ner_entities")
+    return table(spark, d, "search_hits").select("hit_id", F.posexplode(names).alias("p", "n")).select("hit_id", F.col("n.name").alias("name"), (F.col("p") + 1).alias("rank"))
 
 
 @query(

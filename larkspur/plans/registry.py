@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("text_queries", "retrieval_queries", "ranking_queries", "table_queries"):
+    for name in ("text_queries", "retrieval_queries", "ranking_queries", "table_queries", "pipeline_queries"):
         importlib.import_module(f"larkspur.plans.{name}")
 
 

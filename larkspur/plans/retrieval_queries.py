@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.lexicons import RELEVANCE_STOPWORDS, SYNONYMS
-from ..operators import concepts, evaluation, expansion, fusion, lexical, vectors
+from ..operators import concepts, evaluation, expansion, fusion, lexical, search, vectors
 from ..runtime import table
 from .registry import query
 from .text_queries import fold_sql, in_list, r6, tokens_sql
@@ -16,9 +16,8 @@ from .text_queries import fold_sql, in_list, r6, tokens_sql
 FIELDS = {"title": 3.0, "text": 1.0}
 
 
-def _postings(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return lexical.postings(docs, "doc_id", "title", "title").unionByName(lexical.postings(docs, "doc_id", "text", "text"))
+def _index(spark: SparkSession, d: str) -> search.Index:
+    return search.index_of(table(spark, d, "documents"), d, "doc_id", list(FIELDS))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -26,8 +25,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str, every_term: bool = False) -> DataFrame:
-    post = _postings(spark, d)
-    return lexical.bm25(post, _terms(spark, d), lexical.field_sizes(post), FIELDS, every_term)
+    return _index(spark, d).scores(_terms(spark, d), FIELDS, every_term)
 
 
 POSTINGS_SQL = f"""
@@ -196,27 +194,29 @@ def h10_negate(spark: SparkSession, d: str) -> DataFrame:
     return fusion.negate(_rankings(spark, d), "lexical", "vector")
 
 
+def _vectors_sql(name: str, source: str, key: str, col: str) -> str:
+    place = "(instr('0123456789abcdef', substr(h, 1, 1)) * 16 - 16 + instr('0123456789abcdef', substr(h, 2, 1)) - 1) % 64"
+    return f"""{name}_v AS (SELECT id, d, sum(s) AS v FROM (SELECT id, {place} AS d, CASE WHEN substr(h, 3, 1) < '8' THEN 1 ELSE -1 END AS s FROM (SELECT id, md5(unnest(t)) AS h FROM (SELECT {key} AS id, list_distinct({tokens_sql(col)}) AS t FROM {source} WHERE {col} IS NOT NULL))) GROUP BY id, d HAVING sum(s) <> 0),
+    {name}_n AS (SELECT id, sum(v * v) AS n FROM {name}_v GROUP BY id)"""
 
 
-@query(
-    "j09_hybrid",
-    f"""WITH {POSTINGS_SQL}, lex AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY {_ROUND} DESC, doc) AS rank FROM scored),
-    qt AS (SELECT query_id AS query, list_distinct({tokens_sql('query')}) AS a FROM query_log), dt AS (SELECT doc_id AS doc, list_distinct({tokens_sql('title')}) AS b FROM documents WHERE title IS NOT NULL),
-    sem0 AS (SELECT query, doc, {r6("len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE)")} AS score FROM qt JOIN dt ON list_has_any(a, b)),
-    sem AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sem0),
-    fused AS (SELECT query, doc AS item, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM lex WHERE rank <= 100 UNION ALL SELECT * FROM sem WHERE rank <= 100) GROUP BY query, doc) """
-    + _ordered_sql("SELECT * FROM fused", 10),
-)
+def hybrid_sql(source: str) -> str:
+    """The CTEs of the hybrid search of a table of queries (query_id, query), the last of them ``fused``."""
+    return f"""{POSTINGS_SQL.replace("FROM query_log", f"FROM {source}")}, lex AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY {_ROUND} DESC, doc) AS rank FROM scored),
+    {_vectors_sql("q", source, "query_id", "query")}, {_vectors_sql("d", "documents", "doc_id", "title")},
+    dots AS (SELECT q.id AS query, d.id AS doc, sum(q.v * d.v) AS dot FROM q_v q JOIN d_v d USING (d) GROUP BY q.id, d.id),
+    sem0 AS (SELECT query, doc, {r6("dot / (sqrt(a.n) * sqrt(b.n))")} AS score FROM dots JOIN q_n a ON a.id = query JOIN d_n b ON b.id = doc),
+    sem AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, CAST(doc AS VARCHAR)) AS rank FROM sem0 WHERE score >= 0.3),
+    fused AS (SELECT query, doc AS item, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM lex WHERE rank <= 100 UNION ALL SELECT * FROM sem WHERE rank <= 100) GROUP BY query, doc)"""
+
+
+@query("j09_hybrid", f"WITH {hybrid_sql('query_log')} " + _ordered_sql("SELECT * FROM fused", 10))
 def j09(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 over title and text fused with the likeness of titles, 100 candidates from each, the best ten of both."""
-    lex = lexical.top_k(_bm25(spark, d), 100).select("query", F.lit("lexical").alias("source"), F.col("doc").alias("item"), "rank", "score")
-    q = table(spark, d, "query_log").select(F.col("query_id").alias("query"), F.array_distinct(text.tokens("query")).alias("a"))
-    t = table(spark, d, "documents").where("title is not null").select(F.col("doc_id").alias("doc"), F.array_distinct(text.tokens("title")).alias("b"))
-    # pairs that share a term, found by an equi-join; shared terms are counted, no set is compared twice
-    shared = q.select("query", F.size("a").alias("na"), F.explode("a").alias("t")).join(t.select("doc", F.size("b").alias("nb"), F.explode("b").alias("t")), "t").groupBy("query", "doc", "na", "nb").agg(F.count("*").alias("n"))
-    sem = lexical.top_k(shared.select("query", "doc", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n")).cast("double")).alias("score")), 100)
-    sem = sem.select("query", F.lit("titles").alias("source"), F.col("doc").alias("item"), "rank", "score")
-    return fusion.reciprocal_rank(lex.unionByName(sem), top=10)
+    """BM25 over title and text fused with the cosine of hashed vectors of query and title (from 0.3 on), 100 candidates
+    from each, the best ten of both."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("title").alias("text"))
+    queries = table(spark, d, "query_log").select(F.col("query_id").alias("query"), F.col("query").alias("text"))
+    return search.hybrid(_index(spark, d), queries, docs, FIELDS, top=10)
 
 
 @query(
@@ -255,11 +255,6 @@ def g05(spark: SparkSession, d: str) -> DataFrame:
 # expansion -----------------------------------------------------------------------------------------------------------
 
 
-@query("k01_synonyms")
-def k01(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "query_log").select("query_id", expansion.expand_synonyms("query").alias("expanded"))
-
-
 @query("k01_synonym_hits", "SELECT query_id, " + ", ".join(f"regexp_matches(lower(query), '(^|[^a-z0-9]){k}($|[^a-z0-9])') AS {k.replace(' ', '_')}" for k in list(SYNONYMS)[:8]) + " FROM query_log")
 def k01_hits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "query_log").select("query_id", *[text.whole_term("query", k).alias(k.replace(" ", "_")) for k in list(SYNONYMS)[:8]])
@@ -282,16 +277,6 @@ def k02(spark: SparkSession, d: str) -> DataFrame:
     return expansion.pseudo_relevance(ranked, table(spark, d, "query_log").select(F.col("query_id").alias("query"), F.col("query").alias("text")))
 
 
-@query("k03_relevance_feedback")
-def k03(spark: SparkSession, d: str) -> DataFrame:
-    """Votes from the reranker's sign: what it scores above zero counts as liked."""
-    c = table(spark, d, "positioning_candidates")
-    votes = c.groupBy(F.col("query_id").alias("query"), F.col("chunk_id").alias("chunk")).agg((F.max("cross_encoder_score") > 0).alias("relevant"), F.max("hybrid_score").alias("h"))
-    votes = votes.withColumn("position", F.row_number().over(W.partitionBy("query").orderBy(F.col("h").desc(), "chunk"))).drop("h")
-    chunks = c.groupBy(F.col("chunk_id").alias("chunk")).agg(F.min("text").alias("text"))
-    return expansion.relevance_feedback(votes, chunks, table(spark, d, "query_log").select(F.col("query_id").alias("query"), F.col("query").alias("text")))
-
-
 # evaluation ----------------------------------------------------------------------------------------------------------
 
 
@@ -307,7 +292,7 @@ def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    """At cut 10. The corpus is every vector that is searched, a query's own included; the SQL below still takes 1000."""
+    """At cut 10. The corpus is every vector that is searched, a query's own included."""
     hits, relevant = _hits(spark, d)
     corpus = vectors.searched(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
     return evaluation.metrics(hits, relevant, 10, corpus_size=corpus)
@@ -320,7 +305,7 @@ _EVAL = f"""pairs AS (SELECT CAST(q.vec_id AS VARCHAR) AS query, CAST(v.vec_id A
   agg AS (SELECT rel.query, r, coalesce(sum(CASE WHEN hit AND rank <= 10 THEN 1 END), 0) AS n, count(CASE WHEN rank <= 10 THEN 1 END) AS shown, coalesce(sum(CASE WHEN hit THEN CAST(sofar AS DOUBLE) / rank END), 0.0) AS gain, min(CASE WHEN hit THEN rank END) AS first,
     coalesce(sum(CASE WHEN hit AND rank <= 10 THEN 1 / log2(rank + 1.0) END), 0.0) AS dcg, coalesce(sum(CASE WHEN hit AND rank <= r THEN 1 END), 0) AS at_r FROM rel LEFT JOIN run USING (query) GROUP BY rel.query, r),
   per AS (SELECT query, n / 10.0 AS precision, CASE WHEN r > 0 THEN n / r ELSE 0.0 END AS recall, CASE WHEN r > 0 THEN gain / r ELSE 0.0 END AS average_precision, coalesce(1.0 / first, 0.0) AS reciprocal_rank, CAST(n > 0 AS INTEGER) AS hit, coalesce(CAST(first = 1 AS INTEGER), 0) AS top1, coalesce(CAST(first <= 3 AS INTEGER), 0) AS top3,
-    CASE WHEN r > 0 THEN dcg / list_sum(list_transform(range(1, CAST(least(10, r) AS INTEGER) + 1), lambda i: 1 / log2(i + 1.0))) ELSE 0.0 END AS ndcg, CASE WHEN r > 0 THEN at_r / r ELSE 0.0 END AS r_precision, CASE WHEN 1000 - r > 0 THEN (shown - n) / (1000 - r) ELSE 0.0 END AS fallout FROM agg)"""
+    CASE WHEN r > 0 THEN dcg / list_sum(list_transform(range(1, CAST(least(10, r) AS INTEGER) + 1), lambda i: 1 / log2(i + 1.0))) ELSE 0.0 END AS ndcg, CASE WHEN r > 0 THEN at_r / r ELSE 0.0 END AS r_precision, CASE WHEN corpus - r > 0 THEN (shown - n) / (corpus - r) ELSE 0.0 END AS fallout FROM agg, (SELECT count(*) AS corpus FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0))"""
 _METRICS = ["precision", "recall", "average_precision", "reciprocal_rank", "ndcg", "r_precision", "fallout"]
 
 
@@ -338,20 +323,8 @@ def f17(spark: SparkSession, d: str) -> DataFrame:
 def e09(spark: SparkSession, d: str) -> DataFrame:
     """Documents ranked for the questions of the evaluation items; a title that names a relevant condition is a hit."""
     items = table(spark, d, "eval_items")
-    post = _postings(spark, d)
-    top = lexical.top_k(lexical.bm25(post, lexical.query_terms(items, "item_id", "passage"), lexical.field_sizes(post), FIELDS), 10)
+    top = lexical.top_k(_index(spark, d).scores(lexical.query_terms(items, "item_id", "query"), FIELDS), 10)
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "title")
     ranked = top.join(titles, "doc").select("query", "rank", F.array_compact(F.array("title")).alias("aliases"))
     qrels = items.select(F.col("item_id").alias("query"), F.col("relevant_disease_names").alias("names"))
     return evaluation.metrics(evaluation.name_hits(ranked, qrels), qrels.select("query", F.size("names").alias("n_relevant")), 10)
-
-
-@query("p13_answers", "SELECT item_id, doc_id, true AS names_it FROM eval_items i JOIN documents dd ON i.lang = 'en' AND dd.text IS NOT NULL AND len(list_filter(relevant_disease_names, lambda x: contains(" + fold_sql("dd.text") + ", " + fold_sql("x") + "))) > 0")
-def p13(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that name a relevant condition in full: the longest word of a name finds candidates by an equi-join, the
-    whole name decides."""
-    i = table(spark, d, "eval_items").where("lang = 'en'").select("item_id", F.explode("relevant_disease_names").alias("n")).select("item_id", text.fold("n").alias("n"))
-    i = i.withColumn("t", F.array_max(F.transform(text.tokens("n"), lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"])
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", text.fold("text").alias("f"))
-    cand = docs.select("doc_id", F.explode(F.array_distinct(text.tokens("f"))).alias("t")).join(i, "t").join(docs, "doc_id")
-    return cand.where(F.col("f").contains(F.col("n"))).select("item_id", "doc_id").distinct().withColumn("names_it", F.lit(True))
