@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import as_column, round6, tokens
-from ..runtime import materialize
+from ..runtime import materialize, spread
 from . import fusion, lexical, vectors
 
 DIMENSIONS = 64
@@ -32,7 +32,7 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, fields: list[str]) -> Index:
-        post = None
+        post, docs = None, spread(docs.select(key, *fields))
         for f in fields:
             part = lexical.postings(docs, key, f, f)
             post = part if post is None else post.unionByName(part)
@@ -106,8 +106,9 @@ def pool(vectors_: str | Column, how: str = "mean") -> Column:
 
 def semantic(queries: DataFrame, docs: DataFrame, k: int = 100, least: float = 0.3) -> DataFrame:
     """(query, doc, score, rank): documents by cosine, from ``least`` on. queries: (query, text); docs: (doc, text)."""
-    q = queries.select(F.col("query").alias("id"), embed("text").alias("embedding"))
-    d = docs.select(F.col("doc").alias("id"), embed("text").alias("embedding"))
+    # both are written once: a block of queries then reads vectors, not texts
+    q = materialize(queries.select(F.col("query").alias("id"), embed("text").alias("embedding")), "query-vectors")
+    d = materialize(docs.select(F.col("doc").alias("id"), embed("text").alias("embedding")), "vectors")
     kind = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query"), (docs, "doc"))}
     found = vectors.top_similar(q, d, k, least, same_ids=False)
     return found.select(F.col("query").cast(kind["query"]).alias("query"), F.col("item").cast(kind["doc"]).alias("doc"), "score", "rank")
@@ -136,6 +137,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame, k: int =
 def two_stage(index: Index, queries: DataFrame, expanded: DataFrame, docs: DataFrame, texts: DataFrame, boosts: dict[str, float], candidates: int = 100, k: int = 10, excluded: DataFrame | None = None) -> DataFrame:
     """Hybrid retrieval by the expanded queries, then what is excluded is taken out and the rest reranked by the original
     ones. queries, expanded: (query, text); docs: (doc, text) for the vectors; texts: (item, text); excluded: (query, item)."""
+    expanded = materialize(expanded.select("query", "text"), "expanded")  # long expressions are not worked out twice
     found = hybrid(index, expanded, docs, boosts, candidates, top=candidates)
     if excluded is not None:
         found = found.join(excluded.select("query", "item").distinct(), ["query", "item"], "left_anti")

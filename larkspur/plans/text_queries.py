@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text, urls
 from ..functions.lexicons import CONCEPTS_EN, STOPWORDS_EN, STOPWORDS_ES
 from ..operators import concepts
-from ..runtime import table
+from ..runtime import spread, table
 from .registry import query
 
 
@@ -358,7 +358,8 @@ def i02(spark: SparkSession, d: str) -> DataFrame:
         FROM (SELECT doc_id, {_NORM_TOK} AS toks, {_LANG} AS lang FROM documents WHERE text IS NOT NULL)) GROUP BY term""",
 )
 def i03(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", text.word_tokens(text.normalize_text("text")).alias("toks"))
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
+    docs = docs.select("doc_id", text.word_tokens(text.normalize_text("text")).alias("toks"))
     docs = docs.select("doc_id", F.explode(text.filter_tokens("toks", text.language_guess("toks"))).alias("term"))
     per_doc = docs.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))

@@ -46,6 +46,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its scan has fewer parts than there are cores, as a small file of one row group has; a
+    scan of many files is left alone, so that a large corpus is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table written by :func:`materialize` in this session. Only call it when no result is still needed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
