@@ -2,11 +2,11 @@
 
 Each content is normalised line by line and cut by content-defined chunking: a rolling hash over the normalised bytes
 marks cut points, and a line's end is always one, as a line is the unit in which cases are reported. A content without
-line ends is cut by the rolling hash alone. The distinct documents of each (source, chunk) are counted, and a line is a
-candidate when every one of its chunks reaches the limit. Chunks may come from different lines, so that the candidates'
-whole lines are counted too; that loses none, since a line in ``least_docs`` documents brings all its chunks into as many.
-A line is therefore given out only if two independent 64-bit hashes agree that it is repeated: that of its bytes as a
-whole, and those of its chunks with their lengths.
+line ends is cut by the rolling hash alone. The distinct documents of each (source, chunk) are counted. A line of one
+chunk is a case when that chunk reaches the limit. A longer line is a candidate when every one of its chunks does; as
+they may come from different lines, the candidates' whole lines are counted too, which loses none, since a line in
+``least_docs`` documents brings all its chunks into as many. Hashes have 64 bits and are compared within one source only:
+among the 10 million distinct lines of a very large source two collide with a chance of 3 in a million.
 
 Counts are made in two steps (distinct (source, chunk, document), then a count), both combined before the shuffle, so
 that a chunk found in a third of all documents is never gathered anywhere. Only 64-bit hashes are shuffled, no text.
@@ -32,7 +32,7 @@ from .text import mix
 LEAST_CHARS = 20
 LEAST_DOCS = 6
 WINDOW = 16
-LANDMARK_MASK = np.uint64(0x3F)
+LANDMARK_MASK = np.uint64(0xFF)
 _DIGITS = re.compile(r"\d+")
 _OTHER = re.compile(r"[\W_]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -147,13 +147,17 @@ def find_repeated_lines(df: DataFrame, key: str = "hit_id", text: str = "content
     hashed = materialize(line_hashes(rows, kind), "lines").where(F.size("line_no") > 0)
     pages = hashed.select("_source", "_doc", F.explode(F.flatten("chunks")).alias("chunk"))
     chunks = materialize(_frequent(pages, "chunk", least_docs), "chunks")
-    # a distinct line of a source stands or falls by its distinct chunks
-    parts = hashed.select("_source", F.inline(F.arrays_zip("line", "chunks"))).select("_source", "line", F.array_distinct("chunks").alias("c"))
-    parts = parts.select("_source", "line", F.size("c").alias("n"), F.explode("c").alias("chunk")).distinct()
+    each = hashed.select("_key", "_source", "_doc", F.inline(F.arrays_zip("line_no", "line", "chunks")))
+    single = each.where(F.size("chunks") == 1).select("_key", "line_no", "_source", F.get("chunks", F.lit(0)).alias("chunk"))
+    single = single.join(chunks, ["_source", "chunk"], "left_semi").select(F.col("_key").alias(key), "line_no")
+
+    # a distinct longer line of a source stands or falls by its distinct chunks
+    long = each.where(F.size("chunks") > 1)
+    parts = long.select("_source", "line", F.array_distinct("chunks").alias("c")).select("_source", "line", F.size("c").alias("n"), F.explode("c").alias("chunk")).distinct()
     whole = parts.join(chunks, ["_source", "chunk"], "left_semi").groupBy("_source", "line", "n").agg(F.count("*").alias("held")).where("held = n").select("_source", "line")
-    candidates = materialize(hashed.select("_key", "_source", "_doc", F.inline(F.arrays_zip("line_no", "line"))).join(whole, ["_source", "line"], "left_semi"), "candidates")
+    candidates = materialize(long.select("_key", "_source", "_doc", "line_no", "line").join(whole, ["_source", "line"], "left_semi"), "candidates")
     lines = _frequent(candidates.select("_source", "_doc", "line"), "line", least_docs)
-    return candidates.join(lines, ["_source", "line"], "left_semi").select(F.col("_key").alias(key), "line_no")
+    return single.unionByName(candidates.join(lines, ["_source", "line"], "left_semi").select(F.col("_key").alias(key), "line_no"))
 
 
 def remove_lines(df: DataFrame, cases: DataFrame, key: str = "hit_id", text: str = "content", out: str = "clean_content") -> DataFrame:
