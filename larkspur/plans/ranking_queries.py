@@ -71,13 +71,13 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _group_name_sql(x: str) -> str:
-    n = f"regexp_replace(lower(trim(coalesce({x}, ''), ' ')), '[_\-]+', ' ', 'g')"
-    n = f"regexp_replace(regexp_replace({n}, '^\d+\s+', ''), '\s+', ' ', 'g')"
-    n = f"regexp_replace(regexp_replace({n}, '\s+(?:symptoms?|signs?|disease|disorder|syndrome)\s*$', ''), '^[ .,:;]+|[ .,:;]+$', '', 'g')"
+    n = rf"regexp_replace(lower(trim(coalesce({x}, ''), ' ')), '[_\-]+', ' ', 'g')"
+    n = rf"regexp_replace(regexp_replace({n}, '^\d+\s+', ''), '\s+', ' ', 'g')"
+    n = rf"regexp_replace(regexp_replace({n}, '\s+(?:symptoms?|signs?|disease|disorder|syndrome)\s*$', ''), '^[ .,:;]+|[ .,:;]+$', '', 'g')"
     return f"coalesce(map_extract_value(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in ACRONYMS.items())}}}, {n}), {n})"
 
 
-_SLUG = "trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '\.[A-Za-z0-9]+$', ''), '[-_]+', ' ', 'g'), ' ')"
+_SLUG = r"trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '\.[A-Za-z0-9]+$', ''), '[-_]+', ' ', 'g'), ' ')"
 
 
 @query(

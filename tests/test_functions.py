@@ -181,7 +181,9 @@ def test_chunk_ids(spark):
 
 
 def test_context(spark):
-    assert context.shorten("abc def", 100) == "abc def" and len(context.shorten("word " * 100, 50)) <= 50
+    cut = lambda t, n: spark.range(1).select(context.shorten(F.lit(t), n).alias("t")).first().t
+    assert cut("abc def", 100) == "abc def" and cut("word " * 100, 50) == ("word " * 10).strip() and cut("x" * 60, 50) == "x" * 50
+    assert cut("one two ! three four", 15) == "one two !" and cut("aaaaaaaaaaaa b cccccc", 16) == "aaaaaaaaaaaa b"
     ranked = spark.createDataFrame([(1, i, f"c{i}", "d1" if i < 4 else "d2", "some text " * 200) for i in range(1, 6)] + [(1, 6, "c6", "d3", " ")], "query_id int, rank int, chunk_id string, doc_id string, text string")
     got = [(r.block, r.chunk_id) for r in context.build_context(ranked).orderBy("block").collect()]
     assert got == [(1, "c1"), (2, "c2"), (3, "c4"), (4, "c5")]
