@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 K = 5
-RECALL = 0.97
+RECALL = 0.99
 SAMPLE = 256
 MOST_TABLES, MOST_PROBES, MOST_COPIES = 6, 8, 12.0
 TARGET = 1024
