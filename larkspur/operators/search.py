@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,44 +15,88 @@ from pyspark.sql import types as T
 
 from ..functions.text import as_column, round6, tokens
 from ..runtime import materialize, spread
-from . import fusion, lexical, vectors
+from . import blocks, fusion, lexical, vectors
 
 DIMENSIONS = 64
-SHARDS = 64
 
 _INDEXES: dict[tuple[str, str], "Index"] = {}
 
 
 class Index:
-    """Postings of a corpus, weighed once and stored by term, with the field sizes that weighed them.
+    """Postings of a corpus, stored in blocks of documents (``blocks.postings``), with the sizes of the fields and how many
+    documents hold each term: a request tokenises no document. Document keys are unique.
 
-    A request reads the shards of its terms and tokenises no document. ``weighed``: (term, field, doc, gain)."""
+    Queries of the same terms are worked off once. The driver holds the distinct sets of terms, and of the asked terms
+    those that any document has."""
 
-    def __init__(self, weighed: DataFrame, sizes: DataFrame) -> None:
-        self.weighed, self.sizes = weighed, sizes
+    def __init__(self, stored: DataFrame, fields: list[str], tags: bool) -> None:
+        self.stored, self.fields, self.tags = stored, fields, tags
+        self.sizes = {r["field"]: r for r in blocks.sizes(stored, fields).collect()}
+        self.freq = materialize(blocks.frequencies(stored, len(fields) + tags), "frequencies")
 
     @classmethod
-    def build(cls, docs: DataFrame, key: str, fields: list[str]) -> Index:
-        post, docs = None, spread(docs.select(key, *fields))
-        for f in fields:
-            part = lexical.postings(docs, key, f, f)
-            post = part if post is None else post.unionByName(part)
-        post = materialize(post, "postings")
-        sizes = materialize(lexical.field_sizes(post), "field-sizes")
-        weighed = lexical.weigh(post, sizes)
-        weighed = weighed.repartition(SHARDS, "term").sortWithinPartitions("term", "field", "doc")
-        return cls(materialize(weighed, "index"), sizes)
+    def build(cls, docs: DataFrame, key: str, fields: list[str], tags: str | None = None) -> Index:
+        """tags: an array of words for :meth:`top` to boost by."""
+        stored = blocks.postings(spread(docs.select(key, *fields, *[tags] * bool(tags))), key, fields, tags)
+        return cls(materialize(stored, "index", **blocks.STORED), fields, tags is not None)
+
+    def _asked(self, words: DataFrame, tags: DataFrame | None = None) -> list[dict[str, float]]:
+        """Of each field the asked terms that documents have, with their weight. words, tags: (term)."""
+        wanted = words.select("term").distinct().join(self.freq.where(F.col("at") < len(self.fields)), "term")
+        if tags is not None:
+            wanted = wanted.unionByName(tags.select("term").distinct().join(self.freq.where(F.col("at") == len(self.fields)), "term"))
+        out: list[dict[str, float]] = [{} for _ in range(len(self.fields) + (tags is not None))]
+        for r in sorted(wanted.collect(), key=lambda r: r["term"]):
+            n = self.sizes[self.fields[r["at"]]]["n"] if r["at"] < len(self.fields) else 0
+            out[r["at"]][r["term"]] = math.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5)) if n else 0.0
+        return out
+
+    def _weighed(self, asked: list[dict[str, float]]) -> DataFrame:
+        average = [self.sizes[f]["avg_len"] if f in self.sizes else 0.0 for f in self.fields]
+        return materialize(blocks.weighed(self.stored, asked, [*average, 0.0], lexical.K1, lexical.B), "asked", **blocks.STORED)
 
     def scores(self, terms: DataFrame, boosts: dict[str, float], every_term: bool = False) -> DataFrame:
-        """(query, doc, score) of every document that holds an asked term; terms: (query, term, n_terms)."""
-        return lexical.score(self.weighed, terms, boosts, every_term)
-
-
-def index_of(docs: DataFrame, name: str, key: str, fields: list[str]) -> Index:
+        """(query, doc, score) of every document that holds an asked term; terms: (query, term, n_terms). These are many:
+        :meth:`top` and :meth:`hits` don't make them."""
+        asked = self._asked(terms)
+        return lexical.score(blocks.exploded(self._weighed(asked), self.fields, asked), terms, boosts, every_term)
+
+    def _sets(self, terms: DataFrame, known: set[str], every_term: bool, tags: DataFrame | None) -> tuple[DataFrame, list[tuple]]:
+        """(query, set), and the sets: (set, terms, number of terms, tags). Terms that no document has are left out."""
+        words = terms.sparkSession.createDataFrame([(t,) for t in sorted(known)], "term string")
+        each = terms.join(words, "term").groupBy("query").agg(F.sort_array(F.collect_list("term")).alias("terms"), (F.max("n_terms") if every_term else F.lit(0)).cast("int").alias("n"))
+        if tags is not None:
+            each = each.join(tags.groupBy("query").agg(F.sort_array(F.collect_set("term")).alias("tags")), "query", "full_outer")
+        none = F.array().cast("array<string>")
+        each = materialize(each.select("query", F.coalesce("terms", none).alias("terms"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("tags", none) if tags is not None else none).alias("tags")), "asking")
+        sets = materialize(each.select("terms", "n", "tags").distinct().withColumn("set", F.monotonically_increasing_id()), "sets")
+        listed = sorted(((r["set"], r["terms"], r["n"], r["tags"]) for r in sets.collect()), key=lambda x: x[1:])
+        return each.join(sets, ["terms", "n", "tags"]).select("query", "set"), listed
+
+    def top(self, terms: DataFrame, boosts: dict[str, float], k: int, offset: int = 0, every_term: bool = False, tags: DataFrame | None = None, tag_boost: float = 3.0) -> DataFrame:
+        """(query, doc, score, rank): what ``lexical.top_k`` makes of :meth:`scores`. With ``tags``, (query, term), documents
+        that share a tag with the query have ``tag_boost`` more, whether they hold a term or not. Boosts are positive."""
+        if min([*boosts.values(), tag_boost]) <= 0 or not set(boosts) <= set(self.fields):
+            raise ValueError("boosts must be positive and name fields of the index")
+        asked = self._asked(terms, tags)
+        queries, sets = self._sets(terms, {t for a in asked[: len(self.fields)] for t in a}, every_term, tags)
+        found = blocks.best(self._weighed(asked), sets, asked, [float(boosts.get(f, 0.0)) for f in self.fields], k + offset, every_term, tag_boost if tags is not None else None)
+        if offset:
+            found = found.where(F.col("rank") > offset)
+        return queries.join(found, "set").select("query", "doc", "score", "rank")
+
+    def hits(self, terms: DataFrame) -> DataFrame:
+        """(query, hits): how many documents hold an asked term, for queries that have any."""
+        asked = self._asked(terms)
+        queries, sets = self._sets(terms, {t for a in asked for t in a}, False, None)
+        return queries.join(blocks.hits(self._weighed(asked), sets, asked), "set").select("query", "hits")
+
+
+def index_of(docs: DataFrame, name: str, key: str, fields: list[str], tags: str | None = None) -> Index:
     """The index of a corpus under this name, built once in a Spark application."""
-    at = (docs.sparkSession.sparkContext.applicationId, name)
+    at = (docs.sparkSession.sparkContext.applicationId, f"{name} {tags or ''}")
     if at not in _INDEXES:
-        _INDEXES[at] = Index.build(docs, key, fields)
+        _INDEXES[at] = Index.build(docs, key, fields, tags)
     return _INDEXES[at]
 
 
@@ -116,7 +161,7 @@ def semantic(queries: DataFrame, docs: DataFrame, k: int = 100, least: float = 0
 
 def hybrid(index: Index, queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k: int = 100, least: float = 0.3, top: int | None = None) -> DataFrame:
     """(query, item, score, rank): both legs' best k fused by reciprocal rank. queries: (query, text)."""
-    lex = lexical.top_k(index.scores(lexical.query_terms(queries, "query", "text"), boosts), k).select("query", F.lit("lexical").alias("source"), F.col("doc").alias("item"), "rank", "score")
+    lex = index.top(lexical.query_terms(queries, "query", "text"), boosts, k).select("query", F.lit("lexical").alias("source"), F.col("doc").alias("item"), "rank", "score")
     sem = semantic(queries, docs, k, least).select("query", F.lit("vector").alias("source"), F.col("doc").alias("item"), "rank", "score")
     return fusion.reciprocal_rank(lex.unionByName(sem), top=top)
 

@@ -66,7 +66,7 @@ def g04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f02_total_hits", f"WITH {POSTINGS_SQL} SELECT query, count(*) AS hits FROM scored GROUP BY query")
 def f02(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d).groupBy("query").agg(F.count("*").alias("hits"))
+    return _index(spark, d).hits(_terms(spark, d))
 
 
 CONCEPTS_SQL = (

@@ -38,11 +38,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and stops recomputation."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and stops recomputation. options: of the writer."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
