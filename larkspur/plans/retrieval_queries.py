@@ -24,6 +24,10 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     return lexical.query_terms(table(spark, d, "query_log"), "query_id", "query")
 
 
+def _best(spark: SparkSession, d: str, k: int, offset: int = 0, every_term: bool = False) -> DataFrame:
+    return _index(spark, d).top(_terms(spark, d), FIELDS, k, offset, every_term)
+
+
 def _bm25(spark: SparkSession, d: str, every_term: bool = False) -> DataFrame:
     return _index(spark, d).scores(_terms(spark, d), FIELDS, every_term)
 
@@ -51,7 +55,7 @@ def top_sql(source: str, k: int, offset: int = 0) -> str:
 
 @query("j01_bm25_topk", f"WITH {POSTINGS_SQL} {top_sql('scored', 10)}")
 def j01(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.top_k(_bm25(spark, d), 10)
+    return _best(spark, d, 10)
 
 
 @query("j01_bm25_every_term", f"WITH {POSTINGS_SQL} {top_sql('both_terms', 10)}")
@@ -323,7 +327,7 @@ def f17(spark: SparkSession, d: str) -> DataFrame:
 def e09(spark: SparkSession, d: str) -> DataFrame:
     """Documents ranked for the questions of the evaluation items; a title that names a relevant condition is a hit."""
     items = table(spark, d, "eval_items")
-    top = lexical.top_k(_index(spark, d).scores(lexical.query_terms(items, "item_id", "query"), FIELDS), 10)
+    top = _index(spark, d).top(lexical.query_terms(items, "item_id", "query"), FIELDS, 10)
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "title")
     ranked = top.join(titles, "doc").select("query", "rank", F.array_compact(F.array("title")).alias("aliases"))
     qrels = items.select(F.col("item_id").alias("query"), F.col("relevant_disease_names").alias("names"))

@@ -44,3 +44,38 @@ def test_hits_are_those_of_all_pairs(spark, corpus, parts, small):
 def test_total_hits_score_no_pair(spark, monkeypatch):
     monkeypatch.setattr(lexical, "score", None)
     assert registry.queries()["f02_total_hits"](spark, SF).count() > 0
+
+
+def shuffled(spark):
+    """Records written to shuffles in this application so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def of_query(spark, name, sf):
+    """Records that a query of this project shuffles."""
+    run = registry.queries()[name]
+    run(spark, sf).count()  # the index is stored by now
+    before = shuffled(spark)
+    run(spark, sf).count()
+    return shuffled(spark) - before
+
+
+def test_best_are_those_of_all_pairs(spark, corpus, parts, small):
+    post, sizes, terms = parts
+    want = lexical.top_k(lexical.bm25(post, terms, sizes, FIELDS), 5).select("query", "doc", "score", "rank")
+    assert rows(search.Index.build(corpus[0], "doc", list(FIELDS)).top(terms, FIELDS, 5)) == rows(want)
+
+
+def test_ties_of_text_keys_and_of_packs_over_several_parts(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", "same words") for i in range(300)], "doc string, text string").repartition(3)
+    terms = lexical.query_terms(spark.createDataFrame([(1, "same")], "q int, t string"), "q", "t")
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    assert [r["doc"] for r in search.Index.build(docs, "doc", ["text"]).top(terms, {"text": 1.0}, 4).orderBy("rank").collect()] == ["d0", "d1", "d10", "d100"]
+    assert search.Index.build(docs, "doc", ["text"]).top(terms.where("term = 'none'"), {"text": 1.0}, 4).count() == 0
+
+
+def test_topk_shuffles_no_pairs(spark):
+    sf = "/root/testdata/sf0.01"  # 1 000 documents, 200 queries
+    assert of_query(spark, "j01_bm25_topk", sf) < 30_000
