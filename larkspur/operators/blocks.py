@@ -370,6 +370,42 @@ def hits(blocks: DataFrame, sets: list[tuple], asked: list[dict[str, float]]) ->
     return _over_packs(blocks, sets, search, "set long, hits long", lambda df: df.groupBy("set").agg(F.sum("hits").alias("hits"))).where("hits > 0")
 
 
+def similar(vectors: DataFrame, sets: list[tuple[int, np.ndarray]], k: int, least: float) -> DataFrame:
+    """(set, doc, score, rank): the k documents of greatest cosine for each set, from ``least`` on; ties go to the first by
+    the text of the key. vectors: blocks (doc, values), the values whole numbers; sets: (set, vector), none of them zero."""
+    kind = vectors.schema["doc"].dataType.elementType
+    schema = f"set long, doc {kind.simpleString()}, score double, rank int"
+
+    def search(pack: list[tuple], parts: int) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast(([x[0] for x in pack], np.array([x[1] for x in pack], dtype=np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            length, found, type_ = np.sqrt((q * q).sum(axis=1)), Best(len(ids), k, least), None
+            for parts, _ in _wide(batches):
+                docs = pa.concat_arrays([b.column("doc").slice(at, 1).flatten() for _, b, at in parts])
+                v = np.concatenate([np.frombuffer(b.column("values")[at].as_buffer(), np.int32) for _, b, at in parts]).reshape(len(docs), -1).astype(np.float64)
+                size = np.sqrt((v * v).sum(axis=1))
+                some = np.flatnonzero(size > 0)
+                if not len(some):
+                    continue
+                v, size, key, type_ = v[some], size[some], keys(docs, as_text=True)[some], docs.type
+                exact = np.float32 if length.max() * size.max() < 2**24 else np.float64  # sums of whole numbers stay whole
+                v, own = v.astype(exact).T, q.astype(exact)
+                for first in range(0, len(ids), ROWS):
+                    found.offer(first, (own[first : first + ROWS] @ v) / (length[first : first + ROWS, None] * size), key)
+            if type_ is not None:
+                yield from found.rows(ids, type_)
+
+        return vectors.coalesce(parts).mapInArrow(run, schema)
+
+    def merge(df: DataFrame) -> DataFrame:
+        order = W.partitionBy("set").orderBy(F.col("score").desc(), F.col("doc").cast("string"))
+        return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    return _over_packs(vectors, sets, search, schema, merge)
+
+
 def exploded(blocks: DataFrame, fields: list[str], asked: list[dict[str, float]]) -> DataFrame:
     """(term, field, doc, gain): the postings of the blocks that :func:`weighed` gives, one by one."""
     kind = blocks.schema["doc"].dataType.elementType.simpleString()

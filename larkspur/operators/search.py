@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import as_column, round6, tokens
 from ..runtime import materialize, spread
-from . import blocks, fusion, lexical, vectors
+from . import blocks, fusion, lexical
 
 DIMENSIONS = 64
 
@@ -149,21 +151,58 @@ def pool(vectors_: str | Column, how: str = "mean") -> Column:
 # pipelines -----------------------------------------------------------------------------------------------------------
 
 
+def _vector_blocks(docs: DataFrame) -> DataFrame:
+    """(doc, values): blocks of documents with the whole numbers that :func:`embed` brings to unit length. docs: (doc, text)."""
+    base = docs.where("doc IS NOT NULL").select("doc", F.array_distinct(tokens("text")).alias("t")).where(F.size("t") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, blocks.BLOCK):
+                b = batch.slice(at, blocks.BLOCK)
+                words, values = b.column(1).flatten().dictionary_encode(), np.zeros((b.num_rows, DIMENSIONS), dtype=np.int32)
+                places = np.array([_place(w) for w in words.dictionary.to_pylist()])[words.indices.to_numpy(zero_copy_only=False)]
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+                np.add.at(values, (row, places[:, 0]), places[:, 1].astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"doc": pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), "values": pa.array([values.tobytes()], pa.binary())})
+
+    return base.mapInArrow(run, f"doc array<{docs.schema['doc'].dataType.simpleString()}>, values binary")
+
+
+def _token_sets(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, set), and the sets (set, terms) of distinct tokens: queries of the same words are worked off once."""
+    each = queries.where("query IS NOT NULL").select("query", F.array_sort(F.array_distinct(tokens("text"))).alias("terms")).where(F.size("terms") > 0)
+    each = materialize(each, "query-tokens")
+    sets = materialize(each.select("terms").distinct().select(F.monotonically_increasing_id().alias("set"), "terms"), "token-sets")
+    return each.join(sets, "terms").select("query", "set"), sets
+
+
+def _similar(sets: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """(set, doc, score, rank); sets: (set, terms)."""
+    asked = []
+    for r in sets.orderBy("terms").collect():
+        v = np.zeros(DIMENSIONS)
+        for w in r["terms"]:
+            d, s = _place(w)
+            v[d] += s
+        if v.any():
+            asked.append((r["set"], v))
+    return blocks.similar(materialize(_vector_blocks(docs), "vectors", **blocks.STORED), asked, k, least)
+
+
 def semantic(queries: DataFrame, docs: DataFrame, k: int = 100, least: float = 0.3) -> DataFrame:
     """(query, doc, score, rank): documents by cosine, from ``least`` on. queries: (query, text); docs: (doc, text)."""
-    # both are written once: a block of queries then reads vectors, not texts
-    q = materialize(queries.select(F.col("query").alias("id"), embed("text").alias("embedding")), "query-vectors")
-    d = materialize(docs.select(F.col("doc").alias("id"), embed("text").alias("embedding")), "vectors")
-    kind = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query"), (docs, "doc"))}
-    found = vectors.top_similar(q, d, k, least, same_ids=False)
-    return found.select(F.col("query").cast(kind["query"]).alias("query"), F.col("item").cast(kind["doc"]).alias("doc"), "score", "rank")
+    of, sets = _token_sets(queries)
+    return of.join(_similar(sets, docs, k, least), "set").select("query", "doc", "score", "rank")
 
 
 def hybrid(index: Index, queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k: int = 100, least: float = 0.3, top: int | None = None) -> DataFrame:
     """(query, item, score, rank): both legs' best k fused by reciprocal rank. queries: (query, text)."""
-    lex = index.top(lexical.query_terms(queries, "query", "text"), boosts, k).select("query", F.lit("lexical").alias("source"), F.col("doc").alias("item"), "rank", "score")
-    sem = semantic(queries, docs, k, least).select("query", F.lit("vector").alias("source"), F.col("doc").alias("item"), "rank", "score")
-    return fusion.reciprocal_rank(lex.unionByName(sem), top=top)
+    of, sets = _token_sets(queries)
+    terms = sets.select(F.col("set").alias("query"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    lex = index.top(terms, boosts, k).select("query", F.lit("lexical").alias("source"), F.col("doc").alias("item"), "rank", "score")
+    sem = _similar(sets, docs, k, least).select(F.col("set").alias("query"), F.lit("vector").alias("source"), F.col("doc").alias("item"), "rank", "score")
+    fused = fusion.reciprocal_rank(lex.unionByName(sem).repartition("query"), top=top)  # neither the sums nor the order need another shuffle
+    return of.join(fused.withColumnRenamed("query", "set"), "set").select("query", "item", "score", "rank")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame, k: int = 10) -> DataFrame:

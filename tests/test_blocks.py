@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import blocks, lexical, search
+from larkspur.operators import blocks, lexical, search, vectors
 from larkspur.plans import registry
 
 FIELDS = {"title": 3.0, "text": 1.0}
@@ -79,3 +79,19 @@ def test_ties_of_text_keys_and_of_packs_over_several_parts(spark, corpus, monkey
 def test_topk_shuffles_no_pairs(spark):
     sf = "/root/testdata/sf0.01"  # 1 000 documents, 200 queries
     assert of_query(spark, "j01_bm25_topk", sf) < 30_000
+
+
+def test_vectors_are_those_of_all_pairs(spark, corpus, small):
+    docs, q = corpus[0].select("doc", F.col("title").alias("text")), corpus[1]
+    v = lambda df, key: df.select(F.col(key).alias("id"), search.embed("text").alias("embedding"))
+    want = vectors.top_similar(v(q, "query"), v(docs, "doc"), 6, 0.3, same_ids=False).select(F.col("query").cast("int"), F.col("item").cast("int"), "score", "rank")
+    assert rows(search.semantic(q, docs, 6, 0.3)) == rows(want)
+
+
+def test_hybrid_asks_for_the_same_words_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i} red", f"red fever {i}") for i in range(60)], "doc int, title string, text string")
+    index, sent = search.Index.build(docs, "doc", list(FIELDS)), []
+    similar = blocks.similar
+    monkeypatch.setattr(blocks, "similar", lambda v, sets, *a: sent.append(len(sets)) or similar(v, sets, *a))
+    q = spark.createDataFrame([(i, "Red fever" if i % 2 else "fever, red") for i in range(50)], "query int, text string")
+    assert search.hybrid(index, q, docs.select("doc", F.col("title").alias("text")), FIELDS, top=10).count() == 500 and sent == [1]
