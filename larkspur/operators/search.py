@@ -208,24 +208,57 @@ def hybrid(index: Index, queries: DataFrame, docs: DataFrame, boosts: dict[str,
 def rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame, k: int = 10) -> DataFrame:
     """(query, item, score, original_rank, rank): candidates by the share of the query's words that their text holds.
 
-    candidates: (query, item, rank); queries: (query, text); texts: (item, text). Stands in for a cross encoder."""
-    q = queries.select("query", F.array_distinct(tokens("text")).alias("_q"))
-    t = texts.select("item", F.array_distinct(tokens("text")).alias("_t"))
-    s = candidates.select("query", "item", F.col("rank").alias("original_rank")).join(q, "query").join(t, "item", "left")
-    share = F.size(F.array_intersect("_q", F.coalesce("_t", F.array().cast("array<string>")))) / F.greatest(F.size("_q"), F.lit(1)).cast("double")
-    s = s.select("query", "item", "original_rank", round6(share).alias("score"))
+    candidates: (query, item, rank); queries: (query, text), whose words the driver holds; texts: (item, text). Of the texts
+    only asked words are moved. Stands in for a cross encoder."""
+    words = {r[0]: r[1] for r in queries.where("query IS NOT NULL").select("query", F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).collect()}
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    kind = {c: df.schema[c].dataType.simpleString() for df, c in ((candidates, "query"), (texts, "item"))}
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sorted({w for ws in shared.value.values() for w in ws}), pa.string())
+        for b in batches:
+            kept = pc.is_in(b.column(1).flatten(), value_set=known)
+            ends = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])[np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), b.column(1).flatten().filter(kept))], names=["item", "words"])
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[float] = []
+            found = pc.list_flatten(b.column("of"))
+            counts, ids = pc.list_value_length(b.column("of")).to_numpy(zero_copy_only=False), found.field("query").to_pylist()
+            at = 0
+            for n, held in zip(counts, b.column("words").to_pylist()):
+                held = frozenset(held or ())
+                for q in ids[at : at + n]:
+                    ws = shared.value.get(q)
+                    out.append(-1.0 if ws is None else sum(w in held for w in ws) / max(len(ws), 1))
+                at += n
+            item = b.column("item").take(pa.array(np.repeat(np.arange(b.num_rows), counts)))
+            yield pa.RecordBatch.from_arrays([found.field("query"), item, found.field("original_rank"), pa.array(out, pa.float64())], names=["query", "item", "original_rank", "score"])
+
+    t = texts.select("item", F.coalesce(F.array_distinct(tokens("text")), F.array().cast("array<string>")).alias("t")).mapInArrow(asked, f"item {kind['item']}, words array<string>")
+    each = candidates.groupBy("item").agg(F.collect_list(F.struct("query", F.col("rank").alias("original_rank"))).alias("of"))
+    s = each.join(t, "item", "left").select("item", "of", "words").mapInArrow(shares, f"query {kind['query']}, item {kind['item']}, original_rank int, score double")
     w = W.partitionBy("query").orderBy(F.col("score").desc(), "original_rank")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return s.where("score >= 0").withColumn("score", round6("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "item", "original_rank", "score", "rank")
 
 
 def two_stage(index: Index, queries: DataFrame, expanded: DataFrame, docs: DataFrame, texts: DataFrame, boosts: dict[str, float], candidates: int = 100, k: int = 10, excluded: DataFrame | None = None) -> DataFrame:
     """Hybrid retrieval by the expanded queries, then what is excluded is taken out and the rest reranked by the original
-    ones. queries, expanded: (query, text); docs: (doc, text) for the vectors; texts: (item, text); excluded: (query, item)."""
-    expanded = materialize(expanded.select("query", "text"), "expanded")  # long expressions are not worked out twice
-    found = hybrid(index, expanded, docs, boosts, candidates, top=candidates)
+    ones. queries, expanded: (query, text); docs: (doc, text) for the vectors; texts: (item, text); excluded: (query, item).
+    Queries that are the same in both forms are worked off once, unless something is excluded."""
+    each = queries.select("query", F.col("text").alias("asked")).join(expanded.select("query", F.col("text").alias("expanded")), "query")
+    each = materialize(each, "expanded")  # long expressions are not worked out twice
     if excluded is not None:
+        found = hybrid(index, each.select("query", F.col("expanded").alias("text")), docs, boosts, candidates, top=candidates)
         found = found.join(excluded.select("query", "item").distinct(), ["query", "item"], "left_anti")
-    return rerank(found, queries, texts, k)
+        return rerank(found, each.select("query", F.col("asked").alias("text")), texts, k)
+    words = lambda c: F.array_sort(F.array_distinct(tokens(F.coalesce(c, F.lit("")))))
+    each = materialize(each.where("query IS NOT NULL").select("query", F.array_join(words("asked"), " ").alias("asked"), F.array_join(words("expanded"), " ").alias("expanded")), "expanded-words")
+    sets = materialize(each.select("asked", "expanded").distinct().withColumn("set", F.monotonically_increasing_id()), "expanded-sets")
+    found = hybrid(index, sets.select(F.col("set").alias("query"), F.col("expanded").alias("text")), docs, boosts, candidates, top=candidates)
+    best = rerank(found, sets.select(F.col("set").alias("query"), F.col("asked").alias("text")), texts, k).withColumnRenamed("query", "set")
+    return each.join(sets, ["asked", "expanded"]).select("query", "set").join(best, "set").drop("set")
 
 
 def request(docs: DataFrame, filters: dict[str, Column], every: bool = True) -> Column:

@@ -95,3 +95,21 @@ def test_hybrid_asks_for_the_same_words_once(spark, monkeypatch):
     monkeypatch.setattr(blocks, "similar", lambda v, sets, *a: sent.append(len(sets)) or similar(v, sets, *a))
     q = spark.createDataFrame([(i, "Red fever" if i % 2 else "fever, red") for i in range(50)], "query int, text string")
     assert search.hybrid(index, q, docs.select("doc", F.col("title").alias("text")), FIELDS, top=10).count() == 500 and sent == [1]
+
+
+def test_rerank_gives_shares_and_moves_asked_words_only(spark):
+    texts = spark.createDataFrame([(1, "a b b " + "x " * 50), (2, None), (3, "c")], "item int, text string")
+    found = spark.createDataFrame([(7, 1, 2), (7, 2, 1), (7, 3, 3), (7, 4, 4), (8, 3, 1), (9, 1, 1), (10, 1, 1)], "query int, item int, rank int")
+    q = spark.createDataFrame([(7, "A b c d"), (8, "c c"), (9, ""), (11, "a")], "query int, text string")
+    want = [(7, 1, 2, 0.5, 1), (7, 2, 1, 0.0, 3), (7, 3, 3, 0.25, 2), (8, 3, 1, 1.0, 1), (9, 1, 1, 0.0, 1)]
+    assert rows(search.rerank(found, q, texts, 3)) == want
+
+
+def test_two_stage_reranks_the_same_words_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i} red", f"red fever {i}") for i in range(60)], "doc int, title string, text string")
+    index, seen = search.Index.build(docs, "doc", list(FIELDS)), []
+    rerank = search.rerank
+    monkeypatch.setattr(search, "rerank", lambda c, q, *a: seen.append(q.count()) or rerank(c, q, *a))
+    q = spark.createDataFrame([(i, "Red fever" if i % 2 else "fever, red") for i in range(50)], "query int, text string")
+    titles, texts = docs.select("doc", F.col("title").alias("text")), docs.select(F.col("doc").alias("item"), "text")
+    assert search.two_stage(index, q, q, titles, texts, FIELDS).groupBy("query").count().where("count = 10").count() == 50 and seen == [1]
