@@ -60,7 +60,7 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j01_bm25_every_term", f"WITH {POSTINGS_SQL} {top_sql('both_terms', 10)}")
 def j01_and(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.top_k(_bm25(spark, d, every_term=True), 10)
+    return _best(spark, d, 10, every_term=True)
 
 
 @query("g04_paging", f"WITH {POSTINGS_SQL} {top_sql('scored', 10, 10)}")

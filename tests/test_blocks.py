@@ -113,3 +113,12 @@ def test_two_stage_reranks_the_same_words_once(spark, monkeypatch):
     q = spark.createDataFrame([(i, "Red fever" if i % 2 else "fever, red") for i in range(50)], "query int, text string")
     titles, texts = docs.select("doc", F.col("title").alias("text")), docs.select(F.col("doc").alias("item"), "text")
     assert search.two_stage(index, q, q, titles, texts, FIELDS).groupBy("query").count().where("count = 10").count() == 50 and seen == [1]
+
+
+def test_every_term_is_that_of_all_pairs(spark, corpus, parts, small, monkeypatch):
+    post, sizes, terms = parts
+    want = lexical.top_k(lexical.bm25(post, terms, sizes, FIELDS, every_term=True), 5).select("query", "doc", "score", "rank")
+    got = rows(search.Index.build(corpus[0], "doc", list(FIELDS)).top(terms, FIELDS, 5, every_term=True))
+    assert got and got == rows(want)
+    monkeypatch.setattr(lexical, "score", None)
+    assert registry.queries()["j01_bm25_every_term"](spark, SF).count() > 0
