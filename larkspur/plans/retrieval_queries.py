@@ -87,9 +87,9 @@ CONCEPTS_SQL = (
     {top_sql('boosted', 10)}""",
 )
 def j02(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), concepts.extract("text").alias("concepts"))
-    qs = table(spark, d, "query_log").select(F.col("query_id").alias("query"), concepts.extract("query").alias("concepts"))
-    return lexical.top_k(lexical.concept_boost(_bm25(spark, d), docs, qs), 10)
+    docs = table(spark, d, "documents").withColumn("concepts", concepts.extract("text"))
+    asked = table(spark, d, "query_log").where("query_id IS NOT NULL").select(F.col("query_id").alias("query"), F.explode(concepts.extract("query")).alias("term"))
+    return search.index_of(docs, d, "doc_id", list(FIELDS), "concepts").top(_terms(spark, d), FIELDS, 10, tags=asked)
 
 
 @query(

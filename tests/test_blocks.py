@@ -122,3 +122,15 @@ def test_every_term_is_that_of_all_pairs(spark, corpus, parts, small, monkeypatc
     assert got and got == rows(want)
     monkeypatch.setattr(lexical, "score", None)
     assert registry.queries()["j01_bm25_every_term"](spark, SF).count() > 0
+
+
+def test_tags_add_to_documents_with_and_without_terms(spark, corpus, parts, small, monkeypatch):
+    post, sizes, terms = parts
+    docs = corpus[0].withColumn("tags", F.when(F.col("doc") % 9 == 0, F.array(F.lit("A"), F.lit("B"))).when(F.col("doc") % 9 == 1, F.array(F.lit("B"))))
+    tags = spark.createDataFrame([(3, "A"), (3, "B"), (4, "B"), (901, "A"), (5, "C")], "query int, term string")
+    owned = docs.select("doc", F.col("tags").alias("concepts"))
+    asking = tags.groupBy("query").agg(F.collect_set("term").alias("concepts"))
+    want = lexical.top_k(lexical.concept_boost(lexical.bm25(post, terms, sizes, FIELDS), owned, asking), 60).select("query", "doc", "score", "rank")
+    assert rows(search.Index.build(docs, "doc", list(FIELDS), "tags").top(terms, FIELDS, 60, tags=tags)) == rows(want)
+    monkeypatch.setattr(lexical, "score", None)
+    assert registry.queries()["j02_concept_boost"](spark, SF).count() > 0
