@@ -65,7 +65,7 @@ def j01_and(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g04_paging", f"WITH {POSTINGS_SQL} {top_sql('scored', 10, 10)}")
 def g04(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.top_k(_bm25(spark, d), 10, offset=10)
+    return _best(spark, d, 10, offset=10)
 
 
 @query("f02_total_hits", f"WITH {POSTINGS_SQL} SELECT query, count(*) AS hits FROM scored GROUP BY query")

@@ -134,3 +134,11 @@ def test_tags_add_to_documents_with_and_without_terms(spark, corpus, parts, smal
     assert rows(search.Index.build(docs, "doc", list(FIELDS), "tags").top(terms, FIELDS, 60, tags=tags)) == rows(want)
     monkeypatch.setattr(lexical, "score", None)
     assert registry.queries()["j02_concept_boost"](spark, SF).count() > 0
+
+
+def test_paging_goes_on_where_the_page_before_ends(spark, corpus, parts, small, monkeypatch):
+    post, sizes, terms = parts
+    want = lexical.top_k(lexical.bm25(post, terms, sizes, FIELDS), 4, offset=3).select("query", "doc", "score", "rank")
+    assert rows(search.Index.build(corpus[0], "doc", list(FIELDS)).top(terms, FIELDS, 4, 3)) == rows(want)
+    monkeypatch.setattr(lexical, "score", None)
+    assert registry.queries()["g04_paging"](spark, SF).count() > 0
