@@ -28,10 +28,6 @@ def _best(spark: SparkSession, d: str, k: int, offset: int = 0, every_term: bool
     return _index(spark, d).top(_terms(spark, d), FIELDS, k, offset, every_term)
 
 
-def _bm25(spark: SparkSession, d: str, every_term: bool = False) -> DataFrame:
-    return _index(spark, d).scores(_terms(spark, d), FIELDS, every_term)
-
-
 POSTINGS_SQL = f"""
 toks AS (
   SELECT doc_id, 'title' AS field, {tokens_sql('title')} AS t FROM documents WHERE title IS NOT NULL
@@ -103,7 +99,7 @@ def j04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j05_highlights")
 def j05(spark: SparkSession, d: str) -> DataFrame:
-    top = lexical.top_k(_bm25(spark, d), 3)
+    top = _best(spark, d, 3)
     q = table(spark, d, "query_log").select(F.col("query_id").alias("query"), F.array_distinct(text.tokens("query")).alias("terms"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
     return top.join(q, "query").join(docs, "doc").select("query", "doc", "rank", lexical.highlight("text", "terms").alias("fragment"))

@@ -142,3 +142,8 @@ def test_paging_goes_on_where_the_page_before_ends(spark, corpus, parts, small,
     assert rows(search.Index.build(corpus[0], "doc", list(FIELDS)).top(terms, FIELDS, 4, 3)) == rows(want)
     monkeypatch.setattr(lexical, "score", None)
     assert registry.queries()["g04_paging"](spark, SF).count() > 0
+
+
+def test_highlights_score_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "score", None)
+    assert registry.queries()["j05_highlights"](spark, SF).where("fragment LIKE '%<em>%'").count() > 0
