@@ -19,7 +19,7 @@ from ..functions.text import tokens
 from .expansion import union_all
 
 BLOCK = 2048  # documents of a stored block, fewer than 65536
-WIDTH = 4096  # documents scored at once, in whole blocks
+WIDTH = 8192  # documents scored at once, in whole blocks
 PACK = 8192  # queries of a task
 ROWS = 256  # queries scored at once
 DENSE = 16  # a term of at least one in so many documents is added as a whole row
